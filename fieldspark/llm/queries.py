@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import simhash
+from . import bpe, simhash
 from .common import table
 
 
@@ -14,5 +15,14 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
 
 
-QUERIES = {"op3_simhash": op3_simhash}
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the bytes that they decode to."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path, public_tokenizers.PATTERN)
+    out = bpe.decode(ids.select("doc_id", "ids"), path)
+    numbers = F.concat_ws(" ", F.col("ids").cast("array<string>"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(numbers.cast("binary"), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
+QUERIES = {"op3_simhash": op3_simhash, "op8_bpe": op8_bpe}
 ORACLE_SQL: dict[str, str] = {}
