@@ -9,7 +9,7 @@ Ids equal those of encoding each piece separately by repeatedly merging the left
 makes a pair of lower rank than its own, the rest of that piece's posting waits until the lower rank has been applied.
 
 The rank file is read on the driver and broadcast; its size is that of the vocabulary, not of the data. Texts are
-encoded whole, batch by batch, without a shuffle. Pieces that recur are kept in a table of bounded size.
+encoded whole, batch by batch, without a shuffle, so memory is bounded by a batch's distinct pieces.
 """
 
 from __future__ import annotations
@@ -20,13 +20,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
-#: Bytes of distinct pieces kept from batch to batch.
-KEPT_BYTES = 1 << 23
-#: Pairs of tokens whose merge is kept.
-KEPT_PAIRS = 1 << 20
+#: Bytes of text whose pieces make one vocabulary.
+RUN_BYTES = 1 << 23
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -35,139 +34,135 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-class Merges(dict):
-    """The rank of the token that a pair of tokens merges into, or -1; found by the pair's bytes and then kept."""
+class Merges:
+    """All pairs of tokens that merge, as sorted arrays, and for each token the lowest rank of a pair that holds it."""
+
+    NONE = 1 << 30
 
     def __init__(self, ranks: dict[bytes, int]):
-        super().__init__()
-        self.ranks, self.spell = ranks, {rank: token for token, rank in ranks.items()}
-
-    def __missing__(self, pair: tuple[int, int]) -> int:
-        rank = self.ranks.get(self.spell[pair[0]] + self.spell[pair[1]], -1)
-        if len(self) >= KEPT_PAIRS:
-            self.clear()
-        self[pair] = rank
-        return rank
-
-
-def replay(pieces: list[bytes], merges: Merges) -> list[list[int]]:
-    """The ids of each piece, by applying all merges to all pieces in rank order."""
-    ranks = merges.ranks
-    flat = b"".join(pieces)
-    single = [ranks.get(bytes([b]), -1) for b in range(256)]
-    token = [single[b] for b in flat]
-    if -1 in token:
+        self.span = max(ranks.values()) + 1
+        self.single = np.array([ranks.get(bytes([b]), -1) for b in range(256)], np.int32)
+        found = [(ranks[t[:k]] * self.span + ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
+        keys, made = np.array(sorted(found), np.int64).reshape(-1, 2).T
+        self.keys, self.made = np.append(keys, np.iinfo(np.int64).max), np.append(made, self.NONE).astype(np.int32)
+        self.low = np.full(self.span, self.NONE)
+        for part in (keys // self.span, keys % self.span):
+            np.minimum.at(self.low, part, made)
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of the token that each pair merges into, or NONE."""
+        key = np.int64(self.span) * left + right
+        at = self.keys.searchsorted(key)
+        return np.where(self.keys[at] == key, self.made[at], np.int32(self.NONE))
+
+
+def replay(pieces: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]:
+    """All pieces' ids, one after another, and how many each has, by applying every merge to all of them in rank order."""
+    flat = np.frombuffer(b"".join(pieces), np.uint8)
+    lengths = np.array(list(map(len, pieces)), np.int64)
+    token = merges.single[flat]
+    if (token < 0).any():
         raise ValueError("the vocabulary lacks a single byte that occurs in the text")
-    after = list(range(1, len(flat) + 1))
-    before = list(range(-1, len(flat) - 1))
-    end = 0
-    for piece in pieces:
-        if piece:
-            before[end] = -1
-            end += len(piece)
-            after[end - 1] = -1
-    merged, index = merges, {}
-    for left, right in enumerate(after):
-        if right >= 0:
-            rank = merged[token[left], token[right]]
-            if rank >= 0:
-                if rank in index:
-                    index[rank].append(left)
-                else:
-                    index[rank] = [left]
-    heap = list(index)
-    heapq.heapify(heap)
+    owner = np.repeat(np.arange(len(pieces), dtype=np.int32), lengths)
+    after, before = np.arange(1, len(flat) + 1, dtype=np.int32), np.arange(-1, len(flat) - 1, dtype=np.int32)
+    ends = np.cumsum(lengths)
+    filled = lengths > 0
+    after[ends[filled] - 1], before[(ends - lengths)[filled]] = -1, -1
+    current = np.full(len(flat), merges.NONE, np.int32)  # of each position's pair with the next
+    left = np.flatnonzero(after >= 0).astype(np.int32)
+    current[left] = merges.rank(token[left], token[left + 1])
+    index: dict[int, list[np.ndarray]] = {}
+    heap: list[int] = []
+
+    def post(at: np.ndarray) -> None:
+        rank = current[at]
+        at, rank = at[rank < merges.NONE], rank[rank < merges.NONE]
+        if len(at) > 1:
+            order = rank.argsort(kind="stable")
+            at, rank = at[order], rank[order]
+            cuts = [0, *(np.flatnonzero(rank[1:] != rank[:-1]) + 1).tolist(), len(at)]
+        else:
+            cuts = [0, len(at)] if len(at) else []
+        for r, a, b in zip(rank[cuts[:-1]].tolist(), cuts, cuts[1:]):
+            if r in index:
+                index[r].append(at[a:b])
+            else:
+                index[r] = [at[a:b]]
+                heapq.heappush(heap, r)
+
+    post(left)
     while heap:
         rank = heapq.heappop(heap)
-        posting = index.pop(rank)
-        posting.sort()
-        waiting, later = -1, []
-        for left in posting:
-            right = after[left]
-            if right < 0 or merged[token[left], token[right]] != rank:
-                continue
-            if left < waiting:
-                later.append(left)
-                continue
-            token[left] = rank
-            token[right] = -1
-            after[left] = beyond = after[right]
-            after[right] = -1
-            lower = rank
-            if beyond >= 0:
-                before[beyond] = left
-                made = merged[rank, token[beyond]]
-                if made >= 0:
-                    lower = made if made < lower else lower
-                    if made in index:
-                        index[made].append(left)
-                    else:
-                        index[made] = [left]
-                        heapq.heappush(heap, made)
-            ahead = before[left]
-            if ahead >= 0:
-                made = merged[token[ahead], rank]
-                if made >= 0:
-                    lower = made if made < lower else lower
-                    if made in index:
-                        index[made].append(ahead)
-                    else:
-                        index[made] = [ahead]
-                        heapq.heappush(heap, made)
-            if lower < rank:
-                waiting = left + 1
-                while waiting < len(flat) and before[waiting] != -1:
-                    waiting += 1
-        if later:
-            index[rank] = later + index.get(rank, [])
-            heapq.heappush(heap, rank)
-    out, at = [], 0
-    for piece in pieces:
-        end = at + len(piece)
-        out.append([t for t in token[at:end] if t >= 0])
-        at = end
-    return out
+        parts = index.pop(rank)
+        at = parts[0] if len(parts) == 1 else np.concatenate(parts)
+        at = at[current[at] == rank]
+        if len(at) > 1:
+            at.sort()
+            if merges.low[rank] < rank:  # a lower rank may come up in the piece: the first place only
+                first = np.append(True, owner[at[1:]] != owner[at[:-1]])
+                if not first.all():
+                    index[rank] = [at[~first]]
+                    heapq.heappush(heap, rank)
+                    at = at[first]
+            else:
+                same = at[1:] == at[:-1]
+                if same.any():
+                    at = at[np.append(True, ~same)]
+                chained = after[at[:-1]] == at[1:]
+                if chained.any():  # of overlapping places, every other one
+                    place = np.arange(len(at))
+                    start = np.maximum.accumulate(np.where(np.append(False, chained), 0, place))
+                    at = at[(place - start) % 2 == 0]
+        if not len(at):
+            continue
+        right = after[at]
+        beyond = after[right]
+        token[at], token[right] = rank, -1
+        after[at] = beyond
+        current[at] = current[right] = merges.NONE
+        inner = beyond >= 0
+        left, beyond = at[inner], beyond[inner]
+        before[beyond] = left
+        current[left] = merges.rank(rank, token[beyond])
+        ahead = before[at]
+        ahead = ahead[ahead >= 0]
+        current[ahead] = merges.rank(token[ahead], rank)
+        post(np.concatenate([left, ahead]))
+    live = token >= 0
+    return token[live], np.bincount(owner[live], minlength=len(pieces))
 
 
 class Encoder:
-    """Encodes runs of texts; keeps the ids of pieces it has seen, up to KEPT_BYTES."""
+    """Encodes runs of texts. All pieces of a run are replayed as one vocabulary."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.merges, self.split = Merges(ranks), regex.compile(pattern).findall
-        self.known: dict[str, bytes] = {}
-        self.size = 0
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The int32 ids of each text; none for null. The run's new pieces are replayed as one vocabulary."""
-        split = [self.split(t or "") for t in texts]
-        new = list({p for pieces in split for p in pieces if p not in self.known})
-        if new:
-            raw = [p.encode() for p in new]
-            for piece, ids in zip(new, replay(raw, self.merges)):
-                self.known[piece] = np.array(ids, np.int32).tobytes()
-            self.size += sum(map(len, raw))
-        out = [np.frombuffer(b"".join(map(self.known.__getitem__, pieces)), np.int32) for pieces in split]
-        if self.size > KEPT_BYTES:
-            self.known.clear()
-            self.size = 0
-        return out
-
-
-#: A worker's encoders by (path, pattern); a worker serves many tasks.
+        self.ranks, self.merges, self.split = ranks, Merges(ranks), regex.compile(pattern).finditer
+
+    def encode(self, texts: Iterator[str | None]) -> Iterator[np.ndarray]:
+        """The int32 ids of each text; none for null."""
+        vocabulary: dict[str, int] = {}
+        number = vocabulary.setdefault
+        placed = [np.fromiter((number(m[0], len(vocabulary)) for m in self.split(t or "")), np.int32) for t in texts]
+        ids, counts = replay([p.encode() for p in vocabulary], self.merges)
+        starts = np.cumsum(counts) - counts
+        for pieces in placed:
+            n = counts[pieces]
+            ends = np.cumsum(n)
+            yield ids[np.repeat(starts[pieces] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+#: A worker's encoder by (path, pattern); a worker serves many tasks.
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
-def slices(texts: pa.Array, limit: int = 1 << 22) -> Iterator[list[str | None]]:
-    """The texts in runs of about ``limit`` characters, at least one text each."""
-    run, size = [], 0
-    for x in texts:
-        run.append(x.as_py())
-        size += len(run[-1] or "")
-        if size >= limit:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run
+def runs(texts: pa.Array, limit: int) -> Iterator[pa.Array]:
+    """Slices of texts of about ``limit`` bytes, at least one text each."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    a = 0
+    while a < len(texts):
+        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit)))
+        yield texts[a:b]
+        a = b
 
 
 def lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
@@ -185,10 +180,10 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out
 
     def ids_of(texts: pa.Array) -> pa.Array:
         encoder = _ENCODERS.get((path, pattern))
-        if encoder is None or encoder.merges.ranks != shared.value:
+        if encoder is None or encoder.ranks != shared.value:
             _ENCODERS.clear()
             encoder = _ENCODERS[path, pattern] = Encoder(shared.value, pattern)
-        return lists([ids for run in slices(texts) for ids in encoder.encode(run)], pa.int32())
+        return lists([ids for run in runs(texts, RUN_BYTES) for ids in encoder.encode(x.as_py() for x in run)], pa.int32())
 
     ids_of.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return docs.withColumn(out, F.arrow_udf(ids_of, T.ArrayType(T.IntegerType()))(F.col(text_col).cast("string")))

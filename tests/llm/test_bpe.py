@@ -42,12 +42,13 @@ def test_replay_waits_for_lower_ranks():
                 break
             _, k = min(options)
             parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        assert bpe.replay([text, text], bpe.Merges(ranks)) == [[ranks[p] for p in parts]] * 2
+        ids, counts = bpe.replay([text, b"", text], bpe.Merges(ranks))
+        assert ids.tolist() == [ranks[p] for p in parts] * 2 and counts.tolist() == [len(parts), 0, len(parts)]
 
 
 def test_missing_byte_is_an_error():
     with pytest.raises(ValueError):
-        bpe.replay([b"az"], bpe.Merges({b"a": 0}))
+        bpe.replay([b"az"], bpe.Merges({b"a": 0, b"aa": 1}))
 
 
 def test_empty_table(spark):
