@@ -5,8 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, simhash
-from .common import table
+from . import bpe, langid, mixing, simhash, toxicity
+from .common import crc_bucket, table
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +15,12 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document the mix takes."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.mix(docs).drop("text", "source", "draws")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the bytes that they decode to."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -24,5 +30,21 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(numbers.cast("binary"), 256).alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op8_bpe": op8_bpe}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, by a model of those whose crc32 modulo 5 is not 0."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", crc_bucket("doc_id", 5) == 0)
+    model = langid.fit(docs.filter(~F.col("held_out")))
+    out = langid.predict(docs.select("doc_id", "held_out", "text"), model)
+    return out.select("doc_id", "held_out", F.col("language.lang").alias("lang_pred"), "language.score")
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, by labels of those whose crc32 modulo 4 is not 2."""
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(crc_bucket("doc_id", 4) != 2))
+    out = toxicity.score(docs, model, out="score")
+    return out.select("doc_id", (crc_bucket("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+QUERIES = {"op3_simhash": op3_simhash, "op6_mixing": op6_mixing, "op8_bpe": op8_bpe, "op9_language_id": op9_language_id, "op10_toxicity": op10_toxicity}
 ORACLE_SQL: dict[str, str] = {}
