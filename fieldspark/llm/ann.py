@@ -69,7 +69,7 @@ def _postings(tables: int, probes: int, seed: int):
             for role, rows, buckets in ((0, np.arange(len(x)), axes[:, 0]), (1, np.repeat(asks, axes.shape[1]), axes[asks].ravel())):
                 n, at = len(rows), pa.array(rows)
                 if n:
-                    none = pa.nulls(n, pa.list_(pa.int64()))
+                    none = pa.nulls(n, ids.type)
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(n, d, np.int32)), pa.array(np.full(n, t, np.int32)), pa.array(buckets.astype(np.int32)), pa.array(np.full(n, role, np.int32)), rep.take(at), v.take(at), none if role else ids.take(at)], names=names)
 
     return run

@@ -5,16 +5,26 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, langid, mixing, simhash, toxicity
+from . import ann, bpe, langid, mixing, simhash, topk, toxicity
 from .common import crc_bucket, table
 
 
+def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """20 nearest found of every 20th embedding, among all others."""
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return out.withColumn("fingerprint", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")))
 
 
+def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """20 highest integer inner products of every 20th embedding, among all others."""
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document the mix takes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
@@ -46,5 +56,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_bucket("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {"op3_simhash": op3_simhash, "op6_mixing": op6_mixing, "op8_bpe": op8_bpe, "op9_language_id": op9_language_id, "op10_toxicity": op10_toxicity}
+QUERIES = {"op1_ann": op1_ann, "op4_topk": op4_topk, "op3_simhash": op3_simhash, "op6_mixing": op6_mixing, "op8_bpe": op8_bpe, "op9_language_id": op9_language_id, "op10_toxicity": op10_toxicity}
 ORACLE_SQL: dict[str, str] = {}
