@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import ann, bpe, langid, mixing, simhash, topk, toxicity
+from . import ann, bpe, chat, langid, licenses, mixing, simhash, topk, toxicity, urls
 from .common import crc_bucket, table
 
 
@@ -14,6 +14,11 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence labels of every document."""
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     out = simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -25,12 +30,29 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"), F.col("id") % 20 == 0)
 
 
+def op5_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule and verdict of every page's url."""
+    return urls.judge(table(spark, sf_dir, "pages"), urls.rule_table(spark, urls.RULES))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words of every document the mix takes."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.mix(docs).drop("text", "source", "draws")
 
 
+def op7_preferences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the example made of each pair of conversations: number 2k is the chosen one, 2k + 1 the rejected one."""
+    turns = table(spark, sf_dir, "conversations")
+    pairs = chat.format_pairs(turns, F.expr("conv_id div 2 - cast(conv_id % 2 < 0 as bigint)"), F.col("conv_id") % 2 == 0)
+    digest = lambda c: F.sha2(F.array_join(F.transform(c, lambda s: s["text"]), "").cast("binary"), 256)
+    trained = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, s: n + s["loss"] * F.length(s["text"]))
+    return pairs.select(
+        "pair_id", *[F.col(c).cast("long").alias(c) for c in ("n_prompt", "n_chosen", "n_rejected")], F.sha2(F.col("prompt").cast("binary"), 256).alias("prompt_sha256"),
+        digest(F.col("chosen")).alias("chosen_sha256"), digest(F.col("rejected")).alias("rejected_sha256"), trained(F.col("chosen")).alias("chosen_trained"), trained(F.col("rejected")).alias("rejected_trained"),
+    )
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the bytes that they decode to."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -56,5 +78,49 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (crc_bucket("doc_id", 4) == 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-QUERIES = {"op1_ann": op1_ann, "op4_topk": op4_topk, "op3_simhash": op3_simhash, "op6_mixing": op6_mixing, "op8_bpe": op8_bpe, "op9_language_id": op9_language_id, "op10_toxicity": op10_toxicity}
+QUERIES = {f.__name__: f for f in (op1_ann, op2_licenses, op3_simhash, op4_topk, op5_urls, op6_mixing, op7_preferences, op8_bpe, op9_language_id, op10_toxicity)}
+
 ORACLE_SQL: dict[str, str] = {}
+
+ORACLE_SQL["op4_topk"] = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings),
+scored AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 20
+"""
+
+ORACLE_SQL["op5_urls"] = """
+WITH rules(verdict, rule, h, p) AS (VALUES
+  ('allow', 'org/', 'org', '/'), ('block', 'example.org/es/', 'example.org', '/es/'), ('block', 'example.org/en/1', 'example.org', '/en/1'),
+  ('allow', 'com/fr/', 'com', '/fr/'), ('block', 'com/de/', 'com', '/de/')),
+rests AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+split AS (SELECT page_id, regexp_extract(rest, '^[^/?#]*') AS raw, rest FROM rests),
+urls AS (
+  SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM split),
+fits AS (
+  SELECT u.page_id, max_by(rule, length(rule)) AS rule, max_by(verdict, length(rule)) AS verdict FROM urls u
+  JOIN rules r ON (u.host = r.h OR ends_with(u.host, '.' || r.h)) AND starts_with(u.path, r.p) GROUP BY u.page_id)
+SELECT u.page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM urls u LEFT JOIN fits f ON u.page_id = f.page_id
+"""
+
+ORACLE_SQL["op7_preferences"] = """
+WITH convs AS (
+  SELECT conv_id // 2 AS pair_id, conv_id % 2 AS side, list({'role': role, 'text': text} ORDER BY turn, role, text) AS t
+  FROM conversations GROUP BY conv_id),
+pairs AS (
+  SELECT pair_id, coalesce(max(t) FILTER (side = 0), []) AS c, coalesce(max(t) FILTER (side = 1), []) AS r FROM convs GROUP BY pair_id),
+sized AS (
+  SELECT *, coalesce(list_min(list_filter(range(least(len(c), len(r))), lambda i: c[i + 1] IS DISTINCT FROM r[i + 1])), least(len(c), len(r))) AS n FROM pairs),
+parts AS (
+  SELECT pair_id, n, c[1:n] AS p, c[n + 1:] AS c, r[n + 1:] AS r FROM sized),
+texts AS (
+  SELECT *, list_transform([p, c, r], lambda s: array_to_string(list_transform(s, lambda x: '<|im_start|>' || coalesce(x.role, '') || chr(10) || coalesce(x.text, '') || '<|im_end|>' || chr(10)), '')) AS x,
+    list_transform([c, r], lambda s: coalesce(list_sum(list_transform(list_filter(s, lambda x: x.role = 'assistant'), lambda x: length(coalesce(x.text, '')) + 11)), 0)) AS w
+  FROM parts)
+SELECT pair_id, CAST(n AS BIGINT) AS n_prompt, len(c) AS n_chosen, len(r) AS n_rejected, sha256(coalesce(x[1], '')) AS prompt_sha256,
+  sha256(coalesce(x[2], '')) AS chosen_sha256, sha256(coalesce(x[3], '')) AS rejected_sha256, CAST(w[1] AS BIGINT) AS chosen_trained, CAST(w[2] AS BIGINT) AS rejected_trained
+FROM texts
+"""
