@@ -20,6 +20,7 @@ levels, so no window holds more than a block's documents, ``fan`` blocks, or a s
 from __future__ import annotations
 
 import json
+import math
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -99,13 +100,13 @@ def _small(df: DataFrame, rows: int = 10_000) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
-def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), total: float = 1.5, most: float = 2.0, shards: int = 16, block: int = 256, fan: int = 512, seed: int = 0) -> DataFrame:
+def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), total: float = 1.5, most: float = 2.0, shards: int | None = None, shard_words: int = 1 << 23, block: int = 256, fan: int = 512, seed: int = 0) -> DataFrame:
     """docs with columns size, source_size, target, taken and draws, each with underscores before it where docs has its name.
 
     draws: array<struct<pass, shard, words, place>>, a document's appearances in the mix (none, one or two): the output
     shard, the number of its words that are taken (all but for one document of each source) and its place within the
     shard. taken: the sum of words, at most ``most`` (2) times size. Null and empty texts have size 0 and are never
-    drawn. Null sources are a source of their own. Equal rows tie: where a source's last words fall on several, each gives
+    drawn. shards: how many, else one for each shard_words. Null sources are a source of their own. Equal rows tie: where a source's last words fall on several, each gives
     an equal part, rounded down. Reruns return the same rows. An empty table gives no rows.
     """
     if not 0 < most <= 2:
@@ -121,7 +122,8 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     per = cut(per.withColumn("rest", F.round("target").cast("long") - F.col("passes") * F.col("source_size")))
     per = per.join(cut_points(slim, per, fan), "turn", "left")
     per = cut(per.withColumn("quota", F.col("passes") * F.col("blocks") + F.coalesce(F.col("b") + 1, F.lit(0))))
-    quotas = per.select("turn", "quota").orderBy("turn").collect()
+    quotas = per.select("turn", "quota", "target").orderBy("turn").collect()
+    shards = shards or max(1, math.ceil(sum(r.target for r in quotas) / shard_words))
     bounds = split_quotas(np.array([r.quota for r in quotas], np.int64), shards, seed).cumsum(axis=1)
     literal = F.lit(json.dumps([{"t": r.turn, "bounds": x} for r, x in zip(quotas, bounds.tolist())]))
     tree = docs.sparkSession.range(1).select(F.inline(F.from_json(literal, "array<struct<t: int, bounds: array<bigint>>>")))
@@ -142,7 +144,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
 
 
 def appearances(docs: DataFrame, mixed: DataFrame, text_col: str = "text") -> DataFrame:
-    """The mix itself, in the columns of docs: a row for each draw, dealt to its shard and in the order of its place there.
+    """The mix itself, in the columns of docs: a row for each draw, by shard and in the order of its place there.
+
+    A shard is four runs of places, each in one partition, so that partitions stay even.
 
     A document drawn in part keeps the words drawn, counted from its start, and what stands before and between them.
     """
@@ -151,4 +155,4 @@ def appearances(docs: DataFrame, mixed: DataFrame, text_col: str = "text") -> Da
     rows = mixed.select(*docs.columns, F.col(had).alias(size), F.explode(draws).alias(x))
     start = F.regexp_extract_all(F.col(text_col), F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
     text = F.when(F.col(f"{x}.words") == F.col(size), F.col(text_col)).otherwise(F.array_join(F.slice(start, 1, F.col(f"{x}.words").cast("int")), ""))
-    return rows.withColumn(text_col, text).withColumn(shard, F.col(f"{x}.shard")).withColumn(place, F.col(f"{x}.place")).repartition(shard).sortWithinPartitions(shard, place).select(*docs.columns)
+    return rows.withColumn(text_col, text).withColumn(shard, F.col(f"{x}.shard")).withColumn(place, F.col(f"{x}.place")).repartition(shard, F.shiftrightunsigned(place, 62)).sortWithinPartitions(shard, place).select(*docs.columns)
