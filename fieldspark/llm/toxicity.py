@@ -30,8 +30,8 @@ SYMBOLS = 28  # a gap, a to z, other letters
 GAP, OTHER = 0, 27
 #: Costs in nats of the channel's readings.
 COST = {"leet": 1.0, "keep": 3.0, "drop": 1.0, "repeat": 1.5, "single": 0.2}
-#: Most distinct decoded tokens, and words' weights, that a worker keeps.
-KEPT = 100_000
+#: Most distinct decoded tokens that a worker keeps.
+KEPT = 20_000
 
 _FOLD = bytearray(256)
 for _c in range(256):
@@ -172,23 +172,29 @@ def text_features(text: str) -> set[str]:
     return {f for w in set(WORDS(text.lower())) for f in features(w)}
 
 
+def families(rows: list) -> dict[str, float]:
+    """The log-odds of features (feature, n1, odds) without prefixes that one word or a longer prefix accounts for."""
+    most: dict[str, float] = {}  # of what a prefix starts, the largest count
+    for r in rows:
+        stem, share = r.feature.rstrip("*"), 0.95 if r.feature.endswith("*") else 0.8
+        for n in PREFIXES:
+            if len(stem) > n or len(stem) == n and share == 0.8:
+                key = stem[:n] + "*"
+                most[key] = max(most.get(key, 0.0), r.n1 / share)
+    return {r.feature: r.odds for r in rows if not r.feature.endswith("*") or r.n1 > most.get(r.feature, 0.0)}
+
+
 class Weights:
     """Log-odds of features; a word's weight is the largest among its features', and 0 at least."""
 
     def __init__(self, odds: dict[str, float]):
-        self.odds, self.known = odds, {}
-
-    def word(self, word: str) -> float:
-        out = self.known.get(word)
-        if out is None:
-            if len(self.known) >= KEPT:
-                self.known.clear()
-            out = self.known[word] = max([0.0, *(self.odds.get(f, 0.0) for f in features(word))])
-        return out
+        self.odds, self.starts = odds, {f.rstrip("*")[: PREFIXES[0]] for f in odds}
 
     def evidence(self, text: str) -> tuple[float, float]:
         """The sum of the weights of a text's distinct words, damped, and the largest."""
-        each = list(map(self.word, set(WORDS(text.lower()))))
+        starts, odds, n = self.starts, self.odds, PREFIXES[0]
+        able = {w for w in set(WORDS(text.lower())) if w[:n] in starts}
+        each = [max([0.0, *(odds.get(f, 0.0) for f in features(w))]) for w in able]
         return math.log1p(sum(each)), max(each, default=0.0)
 
 
@@ -219,12 +225,12 @@ class Model:
         return score
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, max_features: int = 5_000, significance: float = 24.0) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, max_features: int = 5_000, significance: float = 30.0, share: float = 0.02) -> Model:
     """The language model over all docs, and weights from the labelled ones.
 
     labels: (id_col, label_col 0 or 1); rows with nulls are left out, an id's repeated labels count as their largest.
     max_rows: how many labelled ids at most are used, the first by hash. significance: the least log-likelihood ratio of
-    a feature that is used. Without labels of both kinds every text scores the share of toxic labels (0 without any).
+    a feature that is used; share: the least part of the toxic texts that have it. Without labels of both kinds every text scores the share of toxic labels (0 without any).
     """
     cost = language_model(docs, text_col)
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
@@ -240,7 +246,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 found = [*text_features(restore(text.as_py())), ""]
                 ys += [y] * len(found)
                 names += found
-                if len(ys) > 1_000_000:
+                if len(ys) > 100_000:
                     yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(names)], names=["y", "feature"])
                     ys, names = [], []
             yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(names, pa.string())], names=["y", "feature"])
@@ -255,8 +261,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     part = lambda n, share: F.when(n > 0, n * F.log(n / ((F.col("n1") + F.col("n0")) * share))).otherwise(0.0)
     ratio = 2 * (part(F.col("n1"), n1 / (n1 + n0)) + part(F.col("n0"), n0 / (n1 + n0)))
     lift = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1))
-    best = counts.filter("feature <> ''").select("feature", ratio.alias("ratio"), lift.alias("odds")).filter((F.col("ratio") >= significance) & (F.col("odds") > 1.5))
-    odds = {r.feature: r.odds for r in best.orderBy(F.desc("ratio"), "feature").limit(max_features).collect()}
+    best = counts.filter("feature <> ''").select("feature", "n1", ratio.alias("ratio"), lift.alias("odds")).filter((F.col("ratio") >= significance) & (F.col("n1") >= share * n1) & (F.col("odds") > 2.5))
+    odds = families(best.orderBy(F.desc("ratio"), "feature").limit(max_features).collect())
     given = docs.sparkSession.sparkContext.broadcast(odds)
 
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
