@@ -75,6 +75,8 @@ class Model:
 
     def __init__(self, langs: list[str], counts: np.ndarray):
         self.langs = langs
+        if not langs:
+            return
         grams, scripts = counts[:, : 1 << BITS].astype(float), counts[:, 1 << BITS :]
         smooth = grams + 0.1
         table = np.log(smooth / smooth.sum(axis=1, keepdims=True))

@@ -95,6 +95,10 @@ def cut_points(slim: DataFrame, per: DataFrame, fan: int) -> DataFrame:
     return cut(end.select("turn", "b", "h", F.expr("(rest - done) div n").alias("each")))
 
 
+def _up_to(numbers: Column, most: Column) -> Column:
+    return F.filter(numbers, lambda x: x <= most)
+
+
 def _small(df: DataFrame, rows: int = 10_000) -> DataFrame:
     """df, a checkpointed table with a few rows a source, marked for broadcast if it has no more than so many rows."""
     return F.broadcast(df) if df.count() <= rows else df
@@ -136,7 +140,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     for k in range(2):
         words = F.when(F.col(f"{pre}.passes") > k, F.col(size)).when(F.col(f"{pre}.passes") == k, F.least(part, F.col(size))).otherwise(F.lit(0)).cast("long")
         draw = F.expr(f"{k} * {pre}.blocks + {h} div {pre}.width")
-        shard = F.size(F.filter(F.col(f"{pre}.bounds"), lambda x, d=draw: x <= d))
+        shard = F.size(_up_to(F.col(f"{pre}.bounds"), draw))
         appearances.append(F.struct(F.lit(k).alias("pass"), shard.alias("shard"), words.alias("words"), F.xxhash64(F.lit(seed + 1 + k), h).alias("place")))
     rows = rows.withColumn(draws, F.filter(F.array(*appearances), lambda x: x["words"] > 0))
     added = F.aggregate(draws, F.lit(0).cast("long"), lambda a, x: a + x["words"])
