@@ -58,3 +58,21 @@ def orthographic_inverse(x, y, lon0: float, lat0: float) -> tuple[Column, Column
     lon = lon0 + F.degrees(F.atan2(x * F.sin(c), r * F.cos(p) * F.cos(c) - y * F.sin(p) * F.sin(c)))
     out = lambda v, centre: F.when(r > 1, NAN).when(at_centre, centre).otherwise(v)
     return out(lon, lon0), out(lat, lat0)
+
+
+#: The Robinson projection's parallels, every five degrees from the equator: relative length, and relative distance from it. Fixed values.
+ROBINSON_LENGTH = (1.0, 0.9986, 0.9954, 0.99, 0.9822, 0.973, 0.96, 0.9427, 0.9216, 0.8962, 0.8679, 0.835, 0.7986, 0.7597, 0.7186, 0.6732, 0.6213, 0.5722, 0.5322)
+ROBINSON_DISTANCE = (0.0, 0.062, 0.124, 0.186, 0.248, 0.31, 0.372, 0.434, 0.4958, 0.5571, 0.6176, 0.6769, 0.7346, 0.7903, 0.8435, 0.8936, 0.9394, 0.9761, 1.0)
+
+
+def robinson_inverse(x, y, lon0: float = 0.0) -> tuple[Column, Column]:
+    """Longitude and latitude in degrees of a point of the unit-sphere Robinson projection, linear between parallels; NaN off the map."""
+    away, x = F.abs(col(y)) / 1.3523, col(x)
+    lengths, distances = (F.array(*map(F.lit, t)) for t in (ROBINSON_LENGTH, ROBINSON_DISTANCE))
+    k = F.least(F.size(F.filter(distances, lambda d: d <= away)), F.lit(18))
+    a, b = F.get(distances, k - 1), F.get(distances, k)
+    part = (away - a) / (b - a)
+    length = F.get(lengths, k - 1) + part * (F.get(lengths, k) - F.get(lengths, k - 1))
+    turn = F.degrees(x / (0.8487 * length))
+    off = (away > 1) | (F.abs(turn) > 180) | F.isnan(turn)
+    return F.when(off, NAN).otherwise(lon0 + turn), F.when(off, NAN).otherwise(F.signum(col(y)) * 5.0 * (k - 1 + part))

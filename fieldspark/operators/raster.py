@@ -8,13 +8,13 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.columns import finite, present
-from ..functions.geodesy import haversine, lon_grid, lon_query, orthographic_inverse
+from ..functions.geodesy import haversine, lon_grid, lon_query, orthographic_inverse, robinson_inverse
 from .nearest import knn_join, unit_vector
 
 
 @dataclass(frozen=True)
 class RasterSpec:
-    """A raster's projection, limits and size. projection: 'platecarree' or 'orthographic' (about lon0, lat0)."""
+    """A raster's projection, limits and size. projection: 'platecarree', 'robinson' (about lon0) or 'orthographic' (about lon0, lat0)."""
 
     x_min: float
     x_max: float
@@ -39,6 +39,8 @@ def pixels(spark: SparkSession, spec: RasterSpec) -> DataFrame:
     grid = grid.withColumn("x", place(F.col("ix"), spec.width, spec.x_min, spec.x_max)).withColumn("y", place(F.col("iy"), spec.height, spec.y_min, spec.y_max))
     if spec.projection == "orthographic":
         lon, lat = orthographic_inverse("x", "y", spec.lon0, spec.lat0)
+    elif spec.projection == "robinson":
+        lon, lat = robinson_inverse("x", "y", spec.lon0)
     elif spec.projection == "platecarree":
         lon, lat = F.col("x"), F.col("y")
     else:

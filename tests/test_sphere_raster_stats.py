@@ -47,6 +47,13 @@ def test_radius_and_distances(spark):
     assert math.isnan(one(spark, geodesy.orthographic_inverse(F.lit(1.5), F.lit(0.0), 0.0, 0.0)[0]))
 
 
+def test_robinson(spark):
+    at = lambda x, y: tuple(one(spark, c) for c in geodesy.robinson_inverse(F.lit(x), F.lit(y), 10.0))
+    assert at(0.0, 0.0) == (10, 0) and at(0.8487 * math.pi, 0.0) == pytest.approx((190, 0))
+    assert at(0.8487 * 0.8962 * math.radians(60), -1.3523 * 0.5571) == pytest.approx((70, -45)) and at(0.0, 1.3523)[1] == pytest.approx(90)
+    assert all(map(math.isnan, at(0.0, 1.4))) and all(map(math.isnan, at(2.5, 1.3)))
+
+
 def test_ieee(spark):
     div = lambda n, d: one(spark, ieee_div(F.lit(float(n)), F.lit(float(d))))
     assert div(1, 0) == math.inf and div(-1, 0) == -math.inf and math.isnan(div(0, 0)) and div(1, 4) == 0.25
@@ -104,7 +111,7 @@ def test_raster(spark, capsys):
         raster.to_raster(data, query, key=("c",), method="cubic")
     with pytest.raises(ValueError):
         raster.to_raster(data.filter("false"), query, key=("c",))
-    spec = raster.RasterSpec.of((-180, 180, -90, 90), 5, 40, projection="robinson")
+    spec = raster.RasterSpec.of((-180, 180, -90, 90), 5, 40, projection="mollweide")
     assert raster.pixels(spark, spec).count() == 400 and "WARNING" in capsys.readouterr().out
 
 
