@@ -124,3 +124,29 @@ SELECT pair_id, CAST(n AS BIGINT) AS n_prompt, len(c) AS n_chosen, len(r) AS n_r
   sha256(coalesce(x[2], '')) AS chosen_sha256, sha256(coalesce(x[3], '')) AS rejected_sha256, CAST(w[1] AS BIGINT) AS chosen_trained, CAST(w[2] AS BIGINT) AS rejected_trained
 FROM texts
 """
+
+_TEMPLATES = ", ".join(f"({k}, '{label}', {exact}, '{text}')" for k, (exact, label, text) in enumerate([(True, *x) for x in licenses.BASE] + [(False, *x) for x in licenses.PASSAGES]))
+
+ORACLE_SQL["op2_licenses"] = f"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
+templates(template, label, exact, text) AS (VALUES {_TEMPLATES}),
+tw AS (SELECT template, label, exact, string_split(text, ' ') AS w FROM templates),
+tg AS (SELECT template, label, exact, len(w) - 2 AS grams, unnest(list_transform(range(len(w) - 2), lambda i: {{'pos': i, 'gram': w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]}})) AS g FROM tw),
+dg AS (SELECT doc_id, unnest(list_transform(range(len(w) - 2), lambda i: {{'pos': i, 'gram': w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]}})) AS g FROM docs),
+hits AS (SELECT doc_id, template, label, exact, grams, dg.g.pos AS pos, tg.g.pos AS tpos FROM dg JOIN tg ON dg.g.gram = tg.g.gram),
+votes AS (SELECT doc_id, template, label, exact, grams, pos - tpos AS d, min(pos) AS first, list(DISTINCT tpos) AS seen FROM hits GROUP BY ALL),
+steps AS (SELECT *, CASE WHEN exact OR coalesce(d - lag(d) OVER (PARTITION BY doc_id, template ORDER BY d) > 3, true) THEN 1 ELSE 0 END AS step FROM votes),
+numbered AS (SELECT *, sum(step) OVER (PARTITION BY doc_id, template ORDER BY d) AS span FROM steps),
+spans AS (
+  SELECT doc_id, template, span, any_value(label) AS label, any_value(exact) AS exact, min(first) AS first, len(list_distinct(flatten(list(seen)))) / any_value(grams) AS cover
+  FROM numbered GROUP BY doc_id, template, span),
+found AS (
+  SELECT doc_id, count(*) FILTER (exact AND cover = 1) AS n_base, min(first) FILTER (exact AND cover = 1) AS first_word, max(first) FILTER (exact AND cover = 1) AS last_word,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact AND cover = 1) AS base_labels,
+    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (CASE WHEN exact THEN cover = 1 ELSE cover >= 0.6 END) AS labels, max(cover) AS score
+  FROM spans GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
+  CAST(coalesce(score, 0) AS DOUBLE) AS score
+FROM docs LEFT JOIN found USING (doc_id)
+"""
