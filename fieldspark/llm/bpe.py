@@ -20,12 +20,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .common import bound_batches, give_back, runs
+
 #: Bytes of text whose pieces make one vocabulary.
-RUN_BYTES = 1 << 23
+RUN_BYTES = 1 << 22
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -155,16 +156,6 @@ class Encoder:
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
-def runs(texts: pa.Array, limit: int) -> Iterator[pa.Array]:
-    """Slices of texts of about ``limit`` bytes, at least one text each."""
-    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
-    a = 0
-    while a < len(texts):
-        b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + limit)))
-        yield texts[a:b]
-        a = b
-
-
 def lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     ends = np.cumsum([0, *map(len, arrays)])
     values = pa.array(np.concatenate([*arrays, np.empty(0, np.int32)]), kind)
@@ -176,6 +167,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out
 
     path: a rank file on the driver. Special tokens are ordinary text. Every other column is kept, rows too.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
 
     def ids_of(texts: pa.Array) -> pa.Array:
@@ -183,7 +175,9 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out
         if encoder is None or encoder.ranks != shared.value:
             _ENCODERS.clear()
             encoder = _ENCODERS[path, pattern] = Encoder(shared.value, pattern)
-        return lists([ids for run in runs(texts, RUN_BYTES) for ids in encoder.encode(x.as_py() for x in run)], pa.int32())
+        out = lists([ids for run in runs(texts, RUN_BYTES) for ids in encoder.encode(x.as_py() for x in run)], pa.int32())
+        give_back()
+        return out
 
     ids_of.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return docs.withColumn(out, F.arrow_udf(ids_of, T.ArrayType(T.IntegerType()))(F.col(text_col).cast("string")))

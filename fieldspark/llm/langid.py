@@ -18,9 +18,15 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .common import bound_batches, give_back, runs
+
 BITS = 16
 LONGEST = 4
-WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*").findall
+#: Words whose n-grams are held at once.
+CHUNK = 20_000
+#: Bytes of text whose words are labelled together.
+RUN_BYTES = 1 << 22
+WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*").finditer
 #: First code points of blocks and the script from there on; fixed values of Unicode.
 RANGES = [(0x0, 0), (0x370, 1), (0x400, 2), (0x530, 3), (0x590, 4), (0x600, 5), (0x900, 6), (0x980, 7), (0xE00, 8), (0x10A0, 9), (0x1100, 10), (0x1200, 7), (0x1E00, 0), (0x1F00, 1), (0x2000, 0), (0x2E80, 11), (0x3040, 12), (0x3100, 11), (0x3130, 10), (0x3190, 11), (0xAC00, 10), (0xD7B0, 7), (0xF900, 11), (0xFB50, 5), (0xFE70, 5), (0xFF00, 0), (0x10000, 7), (0x20000, 11)]
 SCRIPTS = 13
@@ -61,9 +67,9 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             have = counts.setdefault(lang, np.zeros((1 << BITS) + SCRIPTS, np.int64))
-            words = WORDS((text or "").lower())
-            for k in range(0, len(words), 100_000):
-                buckets, _, scripts = word_grams(words[k : k + 100_000])
+            words = [m[0] for m in WORDS((text or "").lower())]
+            for k in range(0, len(words), CHUNK):
+                buckets, _, scripts = word_grams(words[k : k + CHUNK])
                 have += np.bincount(np.concatenate([buckets, scripts + (1 << BITS)]), minlength=len(have))
     for lang, have in counts.items():
         at = np.flatnonzero(have)
@@ -86,6 +92,9 @@ class Model:
         self.script_cost = np.where(used, 0.0, -1e4).T.astype(np.float32)
 
     def word_scores(self, words: list[str]) -> np.ndarray:
+        return np.concatenate([self._scores(words[k : k + CHUNK]) for k in range(0, len(words), CHUNK)])
+
+    def _scores(self, words: list[str]) -> np.ndarray:
         buckets, owner, scripts = word_grams(words)
         order = np.argsort(owner, kind="stable")
         starts = np.searchsorted(owner[order], np.arange(len(words)))
@@ -130,28 +139,17 @@ def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarr
     return label
 
 
-def _runs(texts: pa.Array, limit: int = 1 << 22) -> Iterator[list[str]]:
-    run, size = [], 0
-    for x in texts:
-        run.append(x.as_py() or "")
-        size += len(run[-1])
-        if size >= limit:
-            yield run
-            run, size = [], 0
-    if run:
-        yield run
-
-
 SPAN = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("n_words", T.IntegerType()), T.StructField("lang", T.StringType())])
 RESULT = T.StructType([T.StructField("lang", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", T.ArrayType(SPAN))])
 
 
 def label_run(texts: list[str], model: Model, penalty: float) -> tuple[list[str], list[float], list[list[dict]]]:
     """Language, score and spans of each text."""
-    words = [WORDS(t.lower()) for t in texts]
     index: dict[str, int] = {}
-    at = np.fromiter((index.setdefault(w, len(index)) for ws in words for w in ws), np.int64)
-    lengths = np.array([len(ws) for ws in words], np.int64)
+    number = index.setdefault
+    words = [np.fromiter((number(m[0], len(index)) for m in WORDS(t.lower())), np.int32) for t in texts]
+    at, lengths = np.concatenate(words), np.array(list(map(len, words)), np.int64)
+    del words
     langs, scores, spans = [], [], []
     if not len(at):
         return ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
@@ -181,6 +179,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
     max_rows: how many ids at most are used, the first by hash; all of them in a smaller table.
     """
+    bound_batches(labelled.sparkSession)
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     ids = rows.select(F.col(id_col).alias("id")).orderBy(F.xxhash64("id"), "id").limit(max_rows).distinct()
     rows = rows.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
@@ -202,14 +201,17 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", out: str = "l
     of the text's letters in words labelled so. spans: array<struct<start, n_words, lang>>, by word. A model without
     languages gives 'und'. Ties go to the first language in code-point order.
     """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def language(texts: pa.Array) -> pa.Array:
         parts: tuple[list, list, list] = ([], [], [])
-        for run in _runs(texts):
+        for part in runs(texts, RUN_BYTES):
+            run = [x.as_py() or "" for x in part]
             found = label_run(run, shared.value, penalty) if shared.value.langs else (["und"] * len(run), [0.0] * len(run), [[] for _ in run])
             for have, new in zip(parts, found):
                 have += new
+        give_back()
         kind = pa.list_(pa.struct([("start", pa.int32()), ("n_words", pa.int32()), ("lang", pa.string())]))
         return pa.StructArray.from_arrays([pa.array(parts[0], pa.string()), pa.array(parts[1], pa.float64()), pa.array(parts[2], kind)], names=["lang", "score", "spans"])
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import cut, fresh
+from .common import bound_batches, cut, fresh, give_back
 
 SEED = 42
 CHUNK = 1 << 16
@@ -61,11 +61,14 @@ def fingerprint(text: bytes | None, shingle: int = 3) -> int:
 
 @F.arrow_udf(T.LongType())
 def _fingerprints(texts: pa.Array) -> pa.Array:
-    return pa.array([fingerprint(x.as_buffer().to_pybytes() if x.is_valid else None) for x in texts.cast(pa.large_binary())], pa.int64())
+    out = pa.array([fingerprint(x.as_buffer().to_pybytes() if x.is_valid else None) for x in texts.cast(pa.large_binary())], pa.int64())
+    give_back()
+    return out
 
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", out: str = "fingerprint") -> DataFrame:
     """docs and a column ``out`` of signed 64-bit fingerprints."""
+    bound_batches(docs.sparkSession)
     return docs.withColumn(out, _fingerprints(F.col(text_col).cast("string")))
 
 
@@ -168,10 +171,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     other. Repeated rows give repeated results. Other columns of docs are ignored; an empty table gives no rows.
     """
     rows = cut(with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), out="fp").select("id", "fp"))
-    return _with_component(rows).select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
+    return _with_component(rows, max_bits, key_bytes).select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
 
 
-def _with_component(rows: DataFrame, max_bits: int = 3, key_bytes: int = 3) -> DataFrame:
+def _with_component(rows: DataFrame, max_bits: int, key_bytes: int) -> DataFrame:
     """rows with columns (id, fp, ...) and the component_id of each."""
     fps = cut(rows.groupBy("fp").agg(F.min("id").alias("low")))
     stars = components(link_edges(fps.select("fp"), max_bits, key_bytes))
@@ -180,10 +183,10 @@ def _with_component(rows: DataFrame, max_bits: int = 3, key_bytes: int = 3) -> D
     return rows.join(rooted.join(lows, "root").select("fp", "component_id"), "fp")
 
 
-def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", few: int = 1_000_000) -> DataFrame:
     """docs without all but one row of each component: the row of the smallest id stays (one of them, if repeated; a
-    null id only where the component has no other). Columns stay as they are. Only (row number, id, fingerprint) and
-    the numbers of dropped rows are dealt out beside the rows themselves. docs must be a table read from files, so
+    null id only where the component has no other). Columns stay as they are. Only (row number, id, fingerprint) is
+    dealt out; the numbers of dropped rows are broadcast if there are no more than ``few``, and joined otherwise. docs must be a table read from files, so
     that reading it twice gives the same row numbers."""
     (uid,) = fresh(docs, "uid")
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
@@ -194,4 +197,6 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rooted = fps.join(stars, fps.fp == stars.node, "left").select("first", F.coalesce("root", "fp").alias("root"))
     kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.uid").alias("uid"))
     dropped = cut(rows.select("uid").join(kept, "uid", "left_anti")).withColumnRenamed("uid", uid)
+    if dropped.count() <= few:
+        dropped = F.broadcast(dropped)
     return docs.withColumn(uid, F.monotonically_increasing_id()).join(dropped, uid, "left_anti").drop(uid)

@@ -24,6 +24,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F, types as T
 
+from .common import bound_batches, cut, give_back
+
 #: What a character may stand for besides itself; fixed values.
 LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "€": "e", "£": "l", "¡": "i"}
 SYMBOLS = 28  # a gap, a to z, other letters
@@ -232,10 +234,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     max_rows: how many labelled ids at most are used, the first by hash. significance: the least log-likelihood ratio of
     a feature that is used; share: the least part of the toxic texts that have it. Without labels of both kinds every text scores the share of toxic labels (0 without any).
     """
+    bound_batches(docs.sparkSession)
     cost = language_model(docs, text_col)
     known = labels.filter(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(F.col(label_col).cast("int")).alias("y"))
     few = F.broadcast(known.orderBy(F.xxhash64("id"), "id").limit(max_rows))  # max_rows rows at most
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(few, "id").select("y", "text")
+    # Written once: the passes over the sample then read it, not all of docs.
+    rows = cut(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).join(few, "id").select("y", "text"))
     shared = docs.sparkSession.sparkContext.broadcast(cost)
 
     def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,9 +254,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                     yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(names)], names=["y", "feature"])
                     ys, names = [], []
             yield pa.RecordBatch.from_arrays([pa.array(ys, pa.int32()), pa.array(names, pa.string())], names=["y", "feature"])
+            give_back()
 
     counts = rows.mapInArrow(seen, "y int, feature string").groupBy("feature").agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0"))
-    counts = counts.filter("feature = '' or n1 >= 3")
+    counts = cut(counts.filter("feature = '' or n1 >= 3"))
     totals = counts.filter("feature = ''").first()
     n1, n0 = (totals.n1, totals.n0) if totals else (0, 0)
     if not n1 or not n0:
@@ -279,11 +284,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "toxicity") -> DataFrame:
     """docs and a double column ``out`` between 0 and 1; null and empty texts get the score of no evidence."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def scores(texts: pa.Array) -> pa.Array:
         one = shared.value.scorer()
-        return pa.array([one(x.as_py()) for x in texts], pa.float64())
+        out = pa.array([one(x.as_py()) for x in texts], pa.float64())
+        give_back()
+        return out
 
     scores.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return docs.withColumn(out, F.arrow_udf(scores, T.DoubleType())(F.col(text_col).cast("string")))
