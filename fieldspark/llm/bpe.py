@@ -165,7 +165,8 @@ def lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "ids") -> DataFrame:
     """docs and a column ``out`` array<int> of token ids; an empty array for a null or empty text.
 
-    path: a rank file on the driver. Special tokens are ordinary text. Every other column is kept, rows too.
+    path: a rank file on the driver. Special tokens are ordinary text. Rows and other columns stay as they are, repeated rows
+    and null ids too; a column that was called ``out`` is replaced. An empty table gives no rows.
     """
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
@@ -184,7 +185,8 @@ def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "ids", out: str = "bytes") -> DataFrame:
-    """docs and a binary column ``out`` of the bytes that the ids stand for; empty for null or no ids."""
+    """docs and a binary column ``out`` of the bytes that the ids stand for; empty for null or no ids. A column
+    that was called ``out`` is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
     made: list[dict[int, bytes]] = []
 

@@ -110,8 +110,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     draws: array<struct<pass, shard, words, place>>, a document's appearances in the mix (none, one or two): the output
     shard, the number of its words that are taken (all but for one document of each source) and its place within the
     shard. taken: the sum of words, at most ``most`` (2) times size. Null and empty texts have size 0 and are never
-    drawn. shards: how many, else one for each shard_words. Null sources are a source of their own. Equal rows tie: where a source's last words fall on several, each gives
-    an equal part, rounded down. Reruns return the same rows. An empty table gives no rows.
+    drawn. shards: how many, else one for each shard_words. Null sources are a source of their own. Equal rows tie: where a
+    source's last words fall on several, each gives an equal part, rounded down. Reruns return the same rows. An empty
+    table gives no rows.
     """
     if not 0 < most <= 2:
         raise ValueError("a document is drawn in two passes at most")
@@ -136,13 +137,13 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     rows = docs.withColumn(size, n_words(F.col(text_col))).withColumn(h, hashed)
     rows = rows.join(_small(per), source.eqNullSafe(F.col(f"{pre}.source")), "left")
     part = F.when(F.col(h) < F.col(f"{pre}.h"), F.col(size)).when(F.col(h) == F.col(f"{pre}.h"), F.col(f"{pre}.each")).otherwise(F.lit(0))
-    appearances = []
+    passes = []
     for k in range(2):
         words = F.when(F.col(f"{pre}.passes") > k, F.col(size)).when(F.col(f"{pre}.passes") == k, F.least(part, F.col(size))).otherwise(F.lit(0)).cast("long")
         draw = F.expr(f"{k} * {pre}.blocks + {h} div {pre}.width")
         shard = F.size(_up_to(F.col(f"{pre}.bounds"), draw))
-        appearances.append(F.struct(F.lit(k).alias("pass"), shard.alias("shard"), words.alias("words"), F.xxhash64(F.lit(seed + 1 + k), h).alias("place")))
-    rows = rows.withColumn(draws, F.filter(F.array(*appearances), lambda x: x["words"] > 0))
+        passes.append(F.struct(F.lit(k).alias("pass"), shard.alias("shard"), words.alias("words"), F.xxhash64(F.lit(seed + 1 + k), h).alias("place")))
+    rows = rows.withColumn(draws, F.filter(F.array(*passes), lambda x: x["words"] > 0))
     added = F.aggregate(draws, F.lit(0).cast("long"), lambda a, x: a + x["words"])
     return rows.select(*docs.columns, size, F.col(f"{pre}.source_size").alias(source_size), F.col(f"{pre}.target").alias(target), added.alias(taken), draws)
 

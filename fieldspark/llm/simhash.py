@@ -67,7 +67,7 @@ def _fingerprints(texts: pa.Array) -> pa.Array:
 
 
 def with_fingerprint(docs: DataFrame, text_col: str = "text", out: str = "fingerprint") -> DataFrame:
-    """docs and a column ``out`` of signed 64-bit fingerprints."""
+    """docs and a column ``out`` of signed 64-bit fingerprints; one of that name is replaced."""
     bound_batches(docs.sparkSession)
     return docs.withColumn(out, _fingerprints(F.col(text_col).cast("string")))
 
