@@ -37,9 +37,12 @@ PASSAGES = [
 
 
 def lowered(text: Column) -> Column:
-    """text with A-Z in lower case. Of other characters only two have a lower case with an ASCII letter; these go first."""
+    """text with A-Z in lower case. Of other characters only the
+    Kelvin sign and I with a dot have a lower case with an ASCII letter; these become another letter first."""
     text = F.coalesce(text.cast("string"), F.lit(""))
-    return F.lower(F.replace(F.replace(text, F.lit("K"), F.lit("ĸ")), F.lit("İ"), F.lit("ĸ")))
+    for letter in ("\N{KELVIN SIGN}", "\N{LATIN CAPITAL LETTER I WITH DOT ABOVE}"):
+        text = F.replace(text, F.lit(letter), F.lit("\N{LATIN SMALL LETTER KRA}"))
+    return F.lower(text)
 
 
 def templates(spark: SparkSession, base: list[tuple[str, str]], passages: list[tuple[str, str]]) -> DataFrame:
