@@ -25,34 +25,39 @@ class ImpactIndex:
     """Segments of one block of candidates by descending impact, and the norms of what follows each."""
 
     def __init__(self, cands: np.ndarray):
-        self.cands = cands
+        self.cands, self.largest = cands, np.abs(cands).max(initial=0)
         size = np.abs(cands)
         level = np.frexp(size)[1] * (size > 0)  # magnitudes of level n: from 2**(n-1) to below 2**n; 0: no posting
         self.segments, self.rest = [], []
         for n in sorted(set(np.unique(level).tolist()) - {0}, reverse=True):
             held = level == n
             rows = np.flatnonzero(held.any(axis=1))
+            rows = slice(None) if 2 * len(rows) > len(cands) else rows
             self.segments.append((rows, np.where(held[rows], cands[rows], 0)))
             lower = np.where(level < n, cands, 0)
             self.rest.append(np.sqrt(np.einsum("ij,ij->i", lower, lower)) * (1 + 1e-9))
+        self.norm = np.sqrt(np.einsum("ij,ij->i", cands, cands))
 
     def possible(self, queries: np.ndarray, keep: int) -> np.ndarray:
         """Which candidates may be among each query's ``keep`` best: a mask that holds all of these."""
         n = len(self.cands)
         if n <= keep:
             return np.ones((len(queries), n), bool)
-        scores = np.zeros((n, len(queries)))
-        norms = np.sqrt(np.einsum("ij,ij->i", queries, queries)) * (1 + 1e-9)
+        exact = self.largest * np.abs(queries).max(initial=0) * queries.shape[1] < 2**24
+        kind = np.float32 if exact else np.float64  # sums of integers are exact in either
+        scores, q = np.zeros((len(queries), n), kind), queries.astype(kind)
+        norms = np.sqrt(np.einsum("ij,ij->i", queries, queries))[:, None] * (1 + 1e-6)
         for k, (rows, postings) in enumerate(self.segments):
-            scores[rows] += postings @ queries.T
-            slack = self.rest[k][:, None] * norms + 1e-6 * (self.rest[k].max() > 0)
-            least = np.partition(scores - slack, n - keep, axis=0)[n - keep]
-            able = scores + slack >= least
-            if able.sum() <= 4 * keep * len(queries):
-                break
-        else:
-            able = scores >= np.partition(scores, n - keep, axis=0)[n - keep]
-        return able.T
+            scores[:, rows] += q @ postings.astype(kind).T
+            # Bounds far above the scores themselves prove nothing, so they are not drawn up.
+            if k < len(self.segments) - 1 and np.median(self.rest[k]) <= 0.25 * np.median(self.norm):
+                slack = (norms * self.rest[k]).astype(kind) + kind(1e-3)
+                low = scores - slack
+                low.partition(n - keep, axis=1)
+                able = scores + slack >= low[:, n - keep, None]
+                if able.sum() <= 4 * keep * len(queries):
+                    return able
+        return scores >= np.partition(scores, n - keep, axis=1)[:, n - keep, None]
 
 
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:

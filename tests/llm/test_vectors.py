@@ -72,3 +72,16 @@ def test_few_vectors_are_all_found(spark):
 def test_empty_table(spark):
     frame = spark.createDataFrame([], "vec_id long, embedding array<double>")
     assert ann.search(frame, F.col("id") % 20 == 0).count() == topk.search(frame, F.col("id") % 20 == 0).count() == 0
+
+
+@pytest.mark.parametrize("scale", [3, 40_000])
+def test_bounds_never_drop_a_member(scale):
+    rng = np.random.default_rng(1)
+    cands = np.floor(scale * rng.standard_cauchy(size=(3000, 16)).clip(-400, 400))
+    queries = np.floor(scale * rng.standard_cauchy(size=(50, 16)).clip(-400, 400))
+    index = topk.ImpactIndex(cands)
+    possible = index.possible(queries, 21)
+    scores = queries @ cands.T
+    members = scores >= np.partition(scores, 3000 - 21, axis=1)[:, 3000 - 21, None]
+    assert (possible >= members).all() and possible.sum() <= 4 * 21 * 50
+    assert possible.sum() > members.sum()  # it stopped on proof, before the last level
