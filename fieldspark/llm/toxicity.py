@@ -31,7 +31,7 @@ LEET = {"0": "o", "1": "il", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "
 SYMBOLS = 28  # a gap, a to z, other letters
 GAP, OTHER = 0, 27
 #: Costs in nats of the channel's readings.
-COST = {"leet": 1.0, "keep": 3.0, "drop": 1.0, "repeat": 1.5, "single": 0.2}
+COST = {"leet": 1.0, "inner": 7.0, "lead": 7.0, "digit": 4.0, "mark": 0.5, "gap": 3.0, "drop": 1.0, "vowel": 2.5, "repeat": 1.5, "single": 0.2}
 #: Most distinct decoded tokens that a worker keeps.
 KEPT = 20_000
 
@@ -94,10 +94,13 @@ def _options(token: str) -> list[list[tuple[str, float]]]:
             else:
                 out.append([(c * run, 0.0)])
         elif c in LEET:
+            # As itself it breaks the word: likely at the end if it is a mark, less so if a digit, least within.
+            edge = COST["mark" if c in "!|+" else "digit"] if end == len(low) else COST["lead" if k == 0 else "inner"]
             readings = [(x * n, COST["leet"]) for x in LEET[c] for n in {1, min(run, 2)}]
-            out.append([*readings, (" ", COST["keep"] * run)])
+            out.append([*readings, (" ", edge)])
         else:
-            out.append([("", COST["drop"] * (not spaced)), (" ", COST["keep"] * (1 + spaced))])
+            hidden = [(x, COST["vowel"]) for x in "aeiou"] if c == "*" and run == 1 and not spaced else []
+            out.append([("", COST["drop"] * (not spaced)), (" ", COST["gap"] * (1 + spaced)), *hidden])
         k = end
     return out
 
@@ -283,7 +286,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "toxicity") -> DataFrame:
-    """docs and a double column ``out`` between 0 and 1; null and empty texts get the score of no evidence."""
+    """docs and a double column ``out`` between 0 and 1; null and empty texts get the score of no evidence.
+    Rows and other columns stay as they are; a column that was called ``out`` is replaced."""
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -298,7 +302,8 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "tox
 
 
 def restored(docs: DataFrame, model: Model, text_col: str = "text", out: str = "restored") -> DataFrame:
-    """docs and a string column ``out``: the text with suspect tokens decoded; '' for null."""
+    """docs and a string column ``out``: the text with suspect tokens decoded; '' for null. A column of
+    that name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model.cost)
 
     def restore(texts: pa.Array) -> pa.Array:
