@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import INF, NAN, col, finite, ieee_div, present
 
@@ -39,6 +39,34 @@ def median(df: DataFrame, value: str, by: Sequence[str], skipna: bool = True) ->
     return df.groupBy(*by).agg(out.alias("median"))
 
 
+def median_of_large_groups(df: DataFrame, value: str, by: Sequence[str] = (), spread: float = 1e-3, few: int = 100_000) -> DataFrame:
+    """(*by, median): what median() gives with skipna, for groups whose values would not fit in a task.
+
+    Approximate quantiles on either side of the middle bracket it; values below the bracket are counted, those within it, a
+    few thousandths of the group, are counted by value, and the middle ones are picked from these counts. Three map-side
+    combined aggregations; brackets are broadcast where there are no more than ``few`` groups.
+    """
+    keys = [f"__by{k}" for k in range(len(by))]
+    rows = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], present(value).alias("x"))
+    ends = F.percentile_approx("x", F.array(F.lit(0.5 - spread), F.lit(0.5 + spread)), F.lit(int(4 / spread)))
+    groups = rows.groupBy(*keys).agg(F.count("x").alias("n"), ends.alias("ends")).select(*keys, "n", F.get("ends", F.lit(0)).alias("low"), F.get("ends", F.lit(1)).alias("high")).persist()
+    brackets = groups.withColumnsRenamed({k: f"{k}g" for k in keys})
+    brackets = F.broadcast(brackets) if groups.count() <= few else brackets
+    on = [rows[k].eqNullSafe(F.col(f"{k}g")) for k in keys]
+    placed = (rows.join(brackets, on) if keys else rows.crossJoin(brackets)).filter(F.col("x") <= F.col("high"))
+    at = F.when(F.col("x") >= F.col("low"), F.col("x"))  # null: below the bracket
+    counts = placed.groupBy(*keys, "n", at.alias("at")).agg(F.count("*").alias("m"))
+    upto = F.sum("m").over(W.partitionBy(*keys).orderBy(F.col("at").asc_nulls_first()))
+    ranked = counts.withColumn("upto", upto)
+    middle = [F.min(F.when(F.col("upto") >= F.ceil(F.col("n") / 2.0) + k, F.col("at"))) for k in (0, 1)]
+    found = ranked.groupBy(*keys, "n").agg(middle[0].alias("a"), middle[1].alias("b"))
+    found = found.withColumnsRenamed({k: f"{k}f" for k in keys}).drop("n")
+    same = [groups[k].eqNullSafe(F.col(f"{k}f")) for k in keys]
+    out = groups.join(found, same, "left") if keys else groups.crossJoin(found)
+    picked = F.when(F.col("n") % 2 == 1, F.col("a")).otherwise((F.col("a") + F.col("b")) / 2)
+    return out.select(*[F.col(k).alias(c) for k, c in zip(keys, by)], F.when(F.col("n") > 0, picked).alias("median"))
+
+
 def t_stat(d0, d1, s0, s1, n0, n1) -> Column:
     """Two-sample t statistic of means d, deviations s and sizes n; infinite where the standard error is zero."""
     square = lambda s, n: ieee_div(col(s) * col(s), n)

@@ -302,6 +302,11 @@ def median_skipna(spark, sf):
     return stats.median(dirty(spark, sf), "value", ["event_type"])
 
 
+@query(f"SELECT event_type, rnd(median(value) FILTER (NOT isnan(value)), 4) AS median FROM {DIRTY} GROUP BY event_type")
+def median_bracketed(spark, sf):
+    return stats.median_of_large_groups(dirty(spark, sf), "value", ["event_type"])
+
+
 @query(f"""
 SELECT 'value' AS variable, count(*) AS total, count(*) FILTER (value IS NULL OR isnan(value)) AS nan_count, count(*) FILTER (isinf(value)) AS inf_count,
   count(*) FILTER (isfinite(value) AND (value < 10 OR value > 400)) AS out_of_range, count(*) FILTER (isfinite(value) AND value BETWEEN 10 AND 400) AS valid,

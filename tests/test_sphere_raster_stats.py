@@ -139,6 +139,17 @@ def test_statistics(spark):
     assert all(math.isnan(r.median) for r in stats.median(df, "v", ["g"], skipna=False).collect())
 
 
+def test_median_of_large_groups(spark):
+    rng = np.random.default_rng(2)
+    groups = {"odd": rng.normal(size=4001), "even": rng.normal(size=5000), "ties": rng.integers(0, 3, 3000), "one": np.array([7.0]), "two": np.array([1.0, 4.0]), None: rng.uniform(size=100)}
+    rows = [(g, float(x)) for g, xs in groups.items() for x in xs] + [("odd", NAN), ("none", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    for few in (0, 100):
+        got = {r.g: r.median for r in stats.median_of_large_groups(df, "v", ["g"], few=few).collect()}
+        assert got == {g: float(np.median(x)) for g, x in groups.items()} | {"none": None}
+    assert stats.median_of_large_groups(df, "v").first().median == float(np.median(np.concatenate(list(groups.values()))))
+
+
 def test_t_statistic(spark):
     rows = [(1.0, 2.0, 1.0, 1.0, 4, 4), (1.0, 2.0, 0.0, 0.0, 4, 4), (1.0, 1.0, 0.0, 0.0, 4, 4), (0.0, 0.1, 1.0, 1.0, 4, 4)]
     df = spark.createDataFrame(rows, "d0 double, d1 double, s0 double, s1 double, n0 int, n1 int").withColumn("t_stat", stats.t_stat("d0", "d1", "s0", "s1", "n0", "n1"))
