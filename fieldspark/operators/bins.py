@@ -72,16 +72,14 @@ class Bins:
         """rows that are in a bin, with its number in column ``out``; once for each bin where bins overlap."""
         v = col(x).cast("double")
         bottoms, tops = F.array(*map(F.lit, self.bottom)), F.array(*map(F.lit, self.top))
-        within = lambda k: (v >= F.get(bottoms, k)) & (v < F.get(tops, k))
         rows = rows.filter(finite(v))
-        if self.pitch and self.touching():
-            guess = F.floor((v - self.bottom[0]) / self.pitch)
-            guess = F.when(guess.between(-1, len(self.bottom)), guess).otherwise(-2).cast("int")
-            number = F.coalesce(*[F.when((guess + d >= 0) & F.coalesce(within(guess + d), F.lit(False)), guess + d) for d in (0, 1, -1)])
-            return rows.withColumn(out, number).filter(F.col(out).isNotNull())
         if self.touching():
-            number = F.size(F.filter(bottoms, lambda e: e <= v)) - 1
-            return rows.withColumn(out, number).filter((F.col(out) >= 0) & (v < self.top[-1]))
+            rows = rows.filter((v >= self.bottom[0]) & (v < self.top[-1]))  # so in one bin; also cuts the scan
+            if not self.pitch:
+                return rows.withColumn(out, F.size(F.filter(bottoms, lambda e: e <= v)) - 1)
+            guess = F.least(F.greatest(F.floor((v - self.bottom[0]) / self.pitch), F.lit(0)), F.lit(len(self.bottom) - 1)).cast("int")
+            # Rounding puts the guess a bin off at most; the edges decide.
+            return rows.withColumn(out, F.when(v < F.get(bottoms, guess), guess - 1).when(v >= F.get(tops, guess), guess + 1).otherwise(guess))
         table = self.table(rows.sparkSession).select(F.col("b").alias(out), F.col("bottom").alias("__bottom"), F.col("top").alias("__top"))
         return rows.join(F.broadcast(table), (v >= F.col("__bottom")) & (v < F.col("__top"))).drop("__bottom", "__top")
 
