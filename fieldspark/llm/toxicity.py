@@ -230,12 +230,13 @@ class Model:
         return score
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, max_features: int = 5_000, significance: float = 30.0, share: float = 0.02) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", max_rows: int = 20_000, max_features: int = 5_000, significance: float = 24.0) -> Model:
     """The language model over all docs, and weights from the labelled ones.
 
     labels: (id_col, label_col 0 or 1); rows with nulls are left out, an id's repeated labels count as their largest.
     max_rows: how many labelled ids at most are used, the first by hash. significance: the least log-likelihood ratio of
-    a feature that is used; share: the least part of the toxic texts that have it. Without labels of both kinds every text scores the share of toxic labels (0 without any).
+    a feature that is used; no part of all toxic texts is asked for, which words of a language with few could not reach.
+    Without labels of both kinds every text scores the share of toxic labels (0 without any).
     """
     bound_batches(docs.sparkSession)
     cost = language_model(docs, text_col)
@@ -269,7 +270,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     part = lambda n, share: F.when(n > 0, n * F.log(n / ((F.col("n1") + F.col("n0")) * share))).otherwise(0.0)
     ratio = 2 * (part(F.col("n1"), n1 / (n1 + n0)) + part(F.col("n0"), n0 / (n1 + n0)))
     lift = F.log((F.col("n1") + 0.5) / (n1 + 1)) - F.log((F.col("n0") + 0.5) / (n0 + 1))
-    best = counts.filter("feature <> ''").select("feature", "n1", ratio.alias("ratio"), lift.alias("odds")).filter((F.col("ratio") >= significance) & (F.col("n1") >= share * n1) & (F.col("odds") > 2.5))
+    best = counts.filter("feature <> ''").select("feature", "n1", ratio.alias("ratio"), lift.alias("odds")).filter((F.col("ratio") >= significance) & (F.col("odds") > 1.5))
     odds = families(best.orderBy(F.desc("ratio"), "feature").limit(max_features).collect())
     given = docs.sparkSession.sparkContext.broadcast(odds)
 

@@ -63,6 +63,31 @@ def test_scores_restored_texts(spark):
     assert restored == {0: "you idiot", 1: "what an idiot you are"} or restored[0] == "you idiot"
 
 
+def test_words_of_few_toxic_texts_count(spark):
+    """Of 300 toxic texts among 7,000: words of 4 and 5, each under 2 %, and a word that clean texts have too."""
+    rng = random.Random(5)
+    docs = []
+    for k in range(7000):
+        words = rng.choices(CLEAN, k=12)
+        if k < 280:
+            words += rng.sample(BAD, 2)
+        elif k < 285:
+            words.append("maldito")
+        elif k < 289:
+            words.append("cretino")
+        elif k < 300:
+            words.append("moron")
+        if k < 20 or k >= 6940:
+            words.append("shabby")
+        docs.append((k, " ".join(words), int(k < 300)))
+    frame = spark.createDataFrame(docs, "doc_id long, text string, toxic int").repartition(3)
+    model = toxicity.fit(frame, frame)
+    assert {"maldito", "cretino", "shabby", *BAD} <= set(model.odds) and not set(CLEAN) & set(model.odds)
+    odd = spark.createDataFrame([(0, "eres un maldito"), (1, "un cretino"), (2, "the garden")], "doc_id long, text string")
+    got = {r.doc_id: r.toxicity for r in toxicity.score(odd, model).collect()}
+    assert got[0] >= 0.3 and got[1] >= 0.3 and got[2] < 0.3
+
+
 def test_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, toxic int")
