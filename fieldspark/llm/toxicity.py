@@ -18,6 +18,7 @@ import math
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +41,7 @@ for _c in range(256):
     _base = unicodedata.normalize("NFKD", chr(_c).lower())[0]
     _FOLD[_c] = ord(_base) - 96 if "a" <= _base <= "z" and chr(_c).isalpha() else OTHER if chr(_c).isalpha() else GAP
 _FOLD = bytes(_FOLD)
+_BEYOND = re.compile(r"[^\x00-\xff]")
 _L, _X, _E = r"[^\W\d_]", r"[0-9@$!|+€£¡]", r"(?:[^\W_]|[@$!])"
 #: Where a token needs decoding: single characters with single separators between them; or a letter next to what may
 #: stand for one or hide it; or a letter three times. In the latter cases the token is all that adjoins.
@@ -49,9 +51,20 @@ JOINED = frozenset(LEET) | frozenset("._*-")
 WORDS = regex.compile(r"\p{L}+").findall
 
 
+@lru_cache(1 << 16)
+def _latin(c: str) -> str:
+    """The Latin-1 character that stands for a lower-case one beyond: a to z without accents, another letter or no letter."""
+    base = unicodedata.normalize("NFKD", c)[0].lower()
+    return "?" if not c.isalpha() else base if "a" <= base <= "z" else "\xdf"
+
+
 def fold(text: str) -> bytes:
     """A symbol for each character: 0 for what is no letter, 1 to 26 for a to z with or without accents, else 27."""
-    return text.lower().encode("latin-1", "replace").translate(_FOLD)
+    low = text.lower()
+    try:
+        return low.encode("latin-1").translate(_FOLD)
+    except UnicodeEncodeError:
+        return _BEYOND.sub(lambda m: _latin(m[0]), low).encode("latin-1").translate(_FOLD)
 
 
 def count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

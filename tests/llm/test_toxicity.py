@@ -42,6 +42,13 @@ def test_decode_is_the_cheapest_reading():
         assert toxicity.decode(token, cost) == "".join(r for r, _ in best).strip()
 
 
+def test_letters_beyond_latin_1_are_letters():
+    a, o = 1, toxicity.OTHER
+    assert list(toxicity.fold("aé ß1")) == [a, 5, 0, o, 0]
+    assert list(toxicity.fold("śŻ łΩ я中’…")) == [19, 26, 0, o, o, 0, o, o, 0, 0]
+    assert set(toxicity.fold("Привет")) == {o} and len(toxicity.fold("привет мир")) == 10
+
+
 def test_scores_restored_texts(spark):
     docs, labels = corpus()
     frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
