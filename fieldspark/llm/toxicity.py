@@ -1,9 +1,12 @@
 """Toxicity scores of texts restored by a noisy-channel decoder.
 
 Writers hide words by leetspeak ('1d10t'), separators and spacing ('i d i o t', 'i.d.i.o.t') and repetition
-('idiooot'). Every token that shows one of these is decoded: its characters form a lattice of what each may stand for,
-with the channel's cost for each reading, and Viterbi finds the reading of least cost under the channel and a character
-trigram model. The model is counted over all texts. Other tokens have a lattice of one path and stay.
+('idiooot', 'iiddiioott'). Tokens that show one of these are decoded (see TRIGGER): their characters form a lattice of what each may
+stand for, with the channel's cost for each reading, and Viterbi finds the reading of least cost under the channel and a character
+trigram model. The model is counted over all texts. Other tokens stay. Not decoded are tokens without a letter ('1010'),
+those of one letter with less than two digits ('$@a$'), single characters more than three separators apart or with others
+than spaces and . _ * - , ; : / between them, spaced words of two characters, and words cut into longer pieces ('id iot').
+A mark before a letter ('+rash', '+idiot') may be a letter or none; both readings are scored.
 
 The restored text's distinct words are scored: each word by the largest log-odds of itself and its prefixes among
 features that are significantly more frequent in toxic texts, a text by a logistic curve over the sum and the largest of
@@ -43,11 +46,17 @@ for _c in range(256):
 _FOLD = bytes(_FOLD)
 _BEYOND = re.compile(r"[^\x00-\xff]")
 _L, _X, _E = r"[^\W\d_]", r"[0-9@$!|+€£¡]", r"(?:[^\W_]|[@$!])"
-#: Where a token needs decoding: single characters with single separators between them; or a letter next to what may
-#: stand for one or hide it; or a letter three times. In the latter cases the token is all that adjoins.
-TRIGGER = re.compile(rf"(?P<spaced>(?<![^\W_]){_E}(?:[ ._*\-]{_E}(?![^\W_])){{3,}})|{_L}(?:[0-9@$]|[!|+€£¡._*\-]{_L})|[0-9@$]{_L}|({_L})\2\2")
+_S = r"[\s._*\-,;:/]{1,3}"
+#: Single characters with up to three separators between them.
+SPACED = rf"{_E}(?:{_S}{_E}(?![^\W_])){{2,}}"
+#: Where a token needs decoding: single characters with separators between them; or a letter next to what may stand for
+#: one or hide it; or what may stand for letters next to each other; or a letter three times, or every letter twice.
+#: In all but the first case the token is all that adjoins.
+TRIGGER = re.compile(rf"(?P<spaced>(?<![^\W_]){SPACED})|{_L}(?:[0-9@$]|[!|+€£¡._*\-]{_L})|[0-9@$!|+€£]{_L}|({_L})\2\2|(?<![^\W\d_])(?:({_L})\3){{3,}}(?!{_L})")
 SEPARATORS = frozenset(" ._*-")
 JOINED = frozenset(LEET) | frozenset("._*-")
+DOUBLED = re.compile(rf"[\W\d_]*(?:({_L})\1){{3,}}[\W\d_]*")
+LEADS = "!|+€£"
 WORDS = regex.compile(r"\p{L}+").findall
 
 
@@ -95,14 +104,15 @@ def language_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
 def _options(token: str) -> list[list[tuple[str, float]]]:
     """The lattice: for each position the readings (letters or nothing) and their channel costs."""
     low, out, k = token.lower(), [], 0
-    spaced = len(low) > 4 and low[1] in SEPARATORS and low[3] in SEPARATORS
+    spaced = len(low) > 4 and low[1] in SEPARATORS and low[3] in SEPARATORS or re.fullmatch(SPACED, low) is not None
+    doubled = DOUBLED.fullmatch(low) is not None
     while k < len(low):
         c, end = low[k], k + 1
         while end < len(low) and low[end] == c:
             end += 1
         run = end - k
         if c.isalpha():
-            if run >= 3:
+            if run >= 3 or doubled:
                 out.append([(c, COST["single"]), (c + c, COST["repeat"])])
             else:
                 out.append([(c * run, 0.0)])
@@ -157,10 +167,11 @@ class Restorer:
                 self.known[token] = out
         return out
 
-    def __call__(self, text: str | None) -> str:
-        """text with suspect tokens replaced by their least costly reading; '' for null."""
+    def __call__(self, text: str | None, both: bool = False) -> str:
+        """text with suspect tokens replaced by their least costly reading; '' for null. With both, tokens that a mark
+        leads ('!diot', '+idiot') follow after the text, read as if the mark stood for nothing."""
         text = text or ""
-        parts, at = [], 0
+        parts, at, bare = [], 0, []
         for match in TRIGGER.finditer(text):
             a, b = match.span()
             if a < at:
@@ -171,11 +182,13 @@ class Restorer:
                 while b < len(text) and (text[b].isalpha() or text[b] in JOINED):
                     b += 1
             token = text[a:b]
-            if sum(map(str.isalpha, token)) > 1:
+            letters = sum(map(str.isalpha, token))
+            if letters > 1 or letters and len(set(token)) > 3 and sum(map(str.isalnum, token)) > 2:
                 parts += [text[at:a], self._decoded(token)]
                 at = b
-        parts.append(text[at:])
-        return "".join(parts)
+                if both and token[0] in LEADS:
+                    bare += [" ", self._decoded(token.lstrip(LEADS))]
+        return "".join([*parts, text[at:], *bare])
 
 
 PREFIXES = (3, 4, 5, 6)
@@ -237,7 +250,7 @@ class Model:
         a, b, c = self.curve.tolist()
 
         def score(text: str | None) -> float:
-            total, most = weights.evidence(restore(text))
+            total, most = weights.evidence(restore(text, both=True))
             return 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * total + c * most))))
 
         return score
@@ -264,7 +277,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for batch in batches:
             ys, names = [], []
             for y, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                found = [*text_features(restore(text.as_py())), ""]
+                found = [*text_features(restore(text.as_py(), both=True)), ""]
                 ys += [y] * len(found)
                 names += found
                 if len(ys) > 100_000:
@@ -290,7 +303,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     def evidence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restore, weights = Restorer(shared.value), Weights(given.value)
         for batch in batches:
-            found = [weights.evidence(restore(x.as_py())) for x in batch.column(1)]
+            found = [weights.evidence(restore(x.as_py(), both=True)) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.float64()), pa.array([x for _, x in found], pa.float64())], names=["y", "total", "most"])
 
     points = rows.mapInArrow(evidence, "y int, total double, most double").toArrow()

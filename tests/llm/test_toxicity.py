@@ -70,6 +70,21 @@ def test_scores_restored_texts(spark):
     assert restored == {0: "you idiot", 1: "what an idiot you are"} or restored[0] == "you idiot"
 
 
+HIDDEN = ["!diot", "|oser", "+rash", "1d107", "c l o w n", "c  l  o  w  n", "i, d, i, o, t", "i.d-i_o t", "iiddiioott", "a s s", "s. c. u. m", "+idiot", "|trash"]
+
+
+def test_hidden_forms_reach_the_decoder():
+    """A model of the plain words reads each form; what holds no hidden word stays."""
+    plain = "idiot loser trash clown ass scum garden quiet place people bookkeeper important room".split()
+    counts = sum(np.bincount((x[:-2] * 28 + x[1:-1]) * 28 + x[2:], minlength=28**3) for w in plain for x in [np.frombuffer(b"\0" + toxicity.fold(f" {w} ") + b"\0", np.uint8).astype(int)])
+    tri = counts.reshape(28, 28, 28)
+    restore = toxicity.Restorer(-np.log((tri + 0.02) / (tri.sum(axis=2, keepdims=True) + 0.56)))
+    got = {x: set(restore(f"you {x} there", both=True).split()) & set(plain) for x in HIDDEN}
+    assert [x for x in HIDDEN if not got[x]] == []
+    for text in ("bookkeeper", "room 5", "10:30", "1 2 3 4", "a != b", "!!", "1010", "wow!! A,!!", "a$$$"):
+        assert restore(text, both=True) == text
+
+
 def test_words_of_few_toxic_texts_count(spark):
     """Of 300 toxic texts among 7,000: words of 4 and 5, each under 2 %, and a word that clean texts have too."""
     rng = random.Random(5)
