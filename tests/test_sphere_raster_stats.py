@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fieldspark.functions import geodesy, moist
 from fieldspark.functions.columns import ieee_div, safe_ln
 from fieldspark.operators import lanczos, raster, sphere, stats
+from fieldspark.plans import catalogue
 
 NAN = float("nan")
 
@@ -158,6 +159,15 @@ def test_t_statistic(spark):
     assert tuple(stats.significance(df, t_crit=1.0).first()) == (2, 4, 50.0)
 
 
+def test_t_stat_query_keeps_every_user(spark, tmp_path):
+    halves = {1: ([1.0, 2.0], [3.0, 5.0]), 2: ([1.0], [2.0]), 3: ([2.0, 2.0], [1.0]), 4: ([7.0], [7.0])}
+    rows = [(u, dt.datetime(2024, 1, 3 + 20 * h, k), v) for u, both in halves.items() for h, vs in enumerate(both) for k, v in enumerate(vs)]
+    spark.createDataFrame(rows, "user_id long, ts timestamp_ntz, value double").write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.user_id: r.t_stat for r in catalogue.QUERIES["t_stat"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == [1, 2, 3, 4] and got[1] == pytest.approx(2.5 / math.sqrt(0.125 + 0.5), abs=1e-6)
+    assert got[2] == math.inf and got[3] == -math.inf and math.isnan(got[4])
+
+
 def test_audit(spark, capsys):
     df = spark.createDataFrame([(1.0,), (NAN,), (math.inf,), (-math.inf,), (None,), (5.0,), (9.0,)], "v double")
     r = stats.validity(df, ["v", "w"], check_range={"v": (1.0, 8.0)}).collect()
