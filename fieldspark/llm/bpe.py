@@ -1,32 +1,43 @@
 """Byte-level BPE by corpus-level merge replay.
 
-A batch of texts is split into pieces by the tokenizer's pattern and its distinct pieces form one vocabulary. All of
-it is encoded together: an inverted index maps each token that a merge makes to the positions whose token and next
-token merge into it, and merges are applied in rank order over the whole vocabulary, each touching only the positions
-in its own posting and their neighbours. Texts are then the concatenation of their pieces' ids.
+Texts are split into pieces by the tokenizer's pattern. The distinct pieces of a run of texts that have no ids yet form one
+vocabulary, and all of it is encoded together: an inverted index maps each token that a merge makes to the positions whose
+token and next token merge into it, and merges are applied in rank order over the whole vocabulary, each touching only the
+positions in its own posting and their neighbours. Texts are then the concatenation of their pieces' ids.
 
 Ids equal those of encoding each piece separately by repeatedly merging the leftmost pair of lowest rank: where a merge
 makes a pair of lower rank than its own, the rest of that piece's posting waits until the lower rank has been applied.
 
+Memory is bounded whatever a text holds. A replay takes REPLAY_BYTES of pieces at most, however many of them a text has; a
+piece longer than that is replayed in windows, whose seams are mended until each two neighbouring tokens encode to
+themselves, which only the ids of the whole piece do: the first merge across the border of two tokens would also be made
+where these two stand alone. Of the pieces whose ids are known, those in least use are forgotten once they are too many. What
+remains is the text, its pieces' numbers since the last replay, and its ids.
+
 The rank file is read on the driver and broadcast; its size is that of the vocabulary, not of the data. Texts are
-encoded whole, batch by batch, without a shuffle, so memory is bounded by a batch's distinct pieces.
+encoded whole, batch by batch, without a shuffle.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import bound_batches, give_back, runs
+from .common import bound_batches, give_back
 
-#: Bytes of text whose pieces make one vocabulary.
-RUN_BYTES = 1 << 22
+#: Bytes of pieces that are replayed together, at most.
+REPLAY_BYTES = 1 << 20
+#: Pieces that are read before it is seen whether a replay is due.
+STRIDE = 1 << 15
+#: Pieces, and bytes of them, whose ids a worker remembers, at most but for those of one stride.
+KNOWN_PIECES, KNOWN_BYTES = 1 << 18, 1 << 23
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -133,69 +144,224 @@ def replay(pieces: list[bytes], merges: Merges) -> tuple[np.ndarray, np.ndarray]
     return token[live], np.bincount(owner[live], minlength=len(pieces))
 
 
-class Encoder:
-    """Encodes runs of texts. All pieces of a run are replayed as one vocabulary."""
+class Pieces(dict):
+    """Numbers pieces in the order of their first look-up; ``new`` holds those numbered since it was last emptied."""
+
+    def __init__(self):
+        self.new: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = at = len(self)
+        self.new.append(piece)
+        return at
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.merges, self.split = ranks, Merges(ranks), regex.compile(pattern).finditer
 
-    def encode(self, texts: Iterator[str | None]) -> Iterator[np.ndarray]:
+class Encoder:
+    """Encodes texts, and decodes ids, one worker's tasks after another."""
+
+    def __init__(self, ranks: dict[bytes, int], pattern: str, replay_bytes: int = REPLAY_BYTES, stride: int = STRIDE, known: tuple[int, int] = (KNOWN_PIECES, KNOWN_BYTES)):
+        self.ranks, self.merges, self.pattern = ranks, Merges(ranks), regex.compile(pattern)
+        self.replay_bytes, self.stride, self.known = replay_bytes, stride, known
+        self.spelling = Spelling(ranks)
+        self.pieces, self.size = Pieces(), 0
+        self.ids, self.counts, self.uses = np.empty(0, np.int32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _forget(self) -> None:
+        """Keeps the pieces in most use, half of what may be known."""
+        most = np.argsort(-self.uses, kind="stable")[: self.known[0] // 2]
+        keep = np.zeros(len(self.uses), bool)
+        keep[most] = True
+        names = [piece for piece, stays in zip(self.pieces, keep) if stays]
+        lengths = np.array([len(x.encode()) for x in names], np.int64)
+        if lengths.sum() > self.known[1] // 2:
+            names, keep, lengths = [], np.zeros(len(keep), bool), lengths[:0]
+        self.ids, self.counts, self.uses = self.ids[np.repeat(keep, self.counts)], self.counts[keep], self.uses[keep] // 2
+        self.pieces, self.size = Pieces(), int(lengths.sum())
+        self.pieces.update(zip(names, range(len(names))))
+
+    def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
         """The int32 ids of each text; none for null."""
-        vocabulary: dict[str, int] = {}
-        number = vocabulary.setdefault
-        placed = [np.fromiter((number(m[0], len(vocabulary)) for m in self.split(t or "")), np.int32) for t in texts]
-        ids, counts = replay([p.encode() for p in vocabulary], self.merges)
-        starts = np.cumsum(counts) - counts
-        for pieces in placed:
-            n = counts[pieces]
+        out: list[list[np.ndarray]] = []
+        waiting: list[tuple[int, np.ndarray]] = []
+        held = 0
+
+        def settle() -> None:
+            self._learn()
+            starts = np.cumsum(self.counts) - self.counts
+            for k, numbers in waiting:
+                self.uses += np.bincount(numbers, minlength=len(self.uses))
+                n = self.counts[numbers]
+                ends = np.cumsum(n)
+                out[k].append(self.ids[np.repeat(starts[numbers] - ends + n, n) + np.arange(ends[-1])])
+            waiting.clear()
+            if len(self.pieces) > self.known[0] or self.size > self.known[1]:
+                self._forget()
+
+        for k, text in enumerate(texts):
+            out.append([])
+            found = iter(self.pattern.findall(text or "")) if len(text or "") <= self.stride else (m[0] for m in self.pattern.finditer(text))
+            while True:
+                have = len(self.pieces.new)
+                numbers = np.fromiter(map(self.pieces.__getitem__, islice(found, self.stride)), np.int32)
+                if not len(numbers):
+                    break
+                waiting.append((k, numbers))
+                held += sum(map(len, self.pieces.new[have:])) + len(numbers)
+                if held > self.replay_bytes:
+                    settle()
+                    held = 0
+        settle()
+        return [parts[0] if len(parts) == 1 else np.concatenate([np.empty(0, np.int32), *parts]) for parts in out]
+
+    def _learn(self) -> None:
+        """Replays the new pieces, in groups of bounded size, and remembers their ids."""
+        ids, counts, group, size = [self.ids], [self.counts], [], 0
+
+        def flush() -> None:
+            nonlocal size
+            if group:
+                for known, found in zip((ids, counts), replay(group, self.merges)):
+                    known.append(found)
+                group.clear()
+                size = 0
+
+        for piece in map(str.encode, self.pieces.new):
+            if size + len(piece) > self.replay_bytes:
+                flush()
+            if len(piece) > self.replay_bytes:
+                ids.append(self.long_piece(piece))
+                counts.append(np.array([len(ids[-1])]))
+            else:
+                group.append(piece)
+                size += len(piece)
+            self.size += len(piece)
+        flush()
+        self.pieces.new.clear()
+        self.ids, self.counts = np.concatenate(ids), np.concatenate(counts)
+        self.uses = np.append(self.uses, np.zeros(len(self.counts) - len(self.uses), np.int64))
+
+    def long_piece(self, piece: bytes) -> np.ndarray:
+        """The ids of one piece, replayed window by window; each seam is replayed with ever more tokens on the side that
+        does not hold, until both do."""
+        done: list[np.ndarray] = []  # all but the last are final unless a seam reaches back to them
+        for a in range(0, len(piece), self.replay_bytes):
+            right = replay([piece[a : a + self.replay_bytes]], self.merges)[0]
+            back, ahead = 1, 1
+            while done and len(right):
+                while len(done) > 1 and len(done[-1]) <= back:
+                    done[-2:] = [np.concatenate(done[-2:])]
+                left = done[-1]
+                back, ahead = min(back, len(left)), min(ahead, len(right))
+                middle = replay([self.spelling.bytes_of(np.concatenate([left[len(left) - back :], right[:ahead]]))], self.merges)[0]
+                before, after = back == len(left) or self._apart(left[-back - 1], middle[0]), ahead == len(right) or self._apart(middle[-1], right[ahead])
+                if before and after:
+                    done[-1], right = left[: len(left) - back], np.concatenate([middle, right[ahead:]])
+                    break
+                back, ahead = back * (1 if before else 2), ahead * (1 if after else 2)
+            done.append(right)
+        return np.concatenate(done)
+
+    def _apart(self, left: int, right: int) -> bool:
+        """Whether the two tokens, side by side, encode to themselves."""
+        return replay([self.spelling.bytes_of(np.array([left, right]))], self.merges)[0].tolist() == [left, right]
+
+
+class Spelling:
+    """The bytes of each token, as one array."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        tokens = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            tokens[rank] = token
+        self.flat, self.lengths = np.frombuffer(b"".join(tokens), np.uint8), np.array(list(map(len, tokens)), np.int64)
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def known(self, ids: np.ndarray) -> np.ndarray:
+        inside = (ids >= 0) & (ids < len(self.lengths))
+        return inside & (self.lengths[np.where(inside, ids, 0)] > 0)
+
+    def bytes_of(self, ids: np.ndarray) -> bytes:
+        """The bytes that ids of the vocabulary stand for, spelt in portions."""
+        parts = []
+        for k in range(0, len(ids), STRIDE):
+            n = self.lengths[part := ids[k : k + STRIDE]]
             ends = np.cumsum(n)
-            yield ids[np.repeat(starts[pieces] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
+            parts.append(self.flat[np.repeat(self.starts[part] - ends + n, n) + np.arange(ends[-1])].tobytes())
+        return b"".join(parts)
 
 
 #: A worker's encoder by (path, pattern); a worker serves many tasks.
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
+def _encoder(path: str, pattern: str, ranks: dict[bytes, int]) -> Encoder:
+    found = _ENCODERS.get((path, pattern))
+    if found is None or found.ranks != ranks:
+        _ENCODERS.clear()
+        found = _ENCODERS[path, pattern] = Encoder(ranks, pattern)
+    return found
+
+
 def lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
     ends = np.cumsum([0, *map(len, arrays)])
     values = pa.array(np.concatenate([*arrays, np.empty(0, np.int32)]), kind)
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
 
+def _coded(docs: DataFrame, path: str, pattern: str, text_col: str, decoded: bool) -> Column:
+    """The ids of each text, or a struct of them and of the bytes that they decode to; one worker does both."""
+    bound_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
+
+    def run(texts: pa.Array) -> pa.Array:
+        encoder = _encoder(path, pattern, shared.value)
+        ids = encoder.encode(x.as_py() for x in texts)
+        out = lists(ids, pa.int32())
+        if decoded:
+            out = pa.StructArray.from_arrays([out, pa.array(map(encoder.spelling.bytes_of, ids), pa.binary())], ["ids", "bytes"])
+        del ids, texts
+        give_back()
+        return out
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    kind: T.DataType = T.ArrayType(T.IntegerType())
+    if decoded:
+        kind = T.StructType().add("ids", kind).add("bytes", T.BinaryType())
+    return F.arrow_udf(run, kind)(F.col(text_col).cast("string"))
+
+
 def encode(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "ids") -> DataFrame:
     """docs and a column ``out`` array<int> of token ids; an empty array for a null or empty text.
 
     path: a rank file on the driver. Special tokens are ordinary text. Rows and other columns stay as they are, repeated rows
     and null ids too; a column that was called ``out`` is replaced. An empty table gives no rows.
     """
-    bound_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
+    return docs.withColumn(out, _coded(docs, path, pattern, text_col, False))
 
-    def ids_of(texts: pa.Array) -> pa.Array:
-        encoder = _ENCODERS.get((path, pattern))
-        if encoder is None or encoder.ranks != shared.value:
-            _ENCODERS.clear()
-            encoder = _ENCODERS[path, pattern] = Encoder(shared.value, pattern)
-        out = lists([ids for run in runs(texts, RUN_BYTES) for ids in encoder.encode(x.as_py() for x in run)], pa.int32())
-        give_back()
-        return out
 
-    ids_of.__annotations__ = {"texts": pa.Array, "return": pa.Array}
-    return docs.withColumn(out, F.arrow_udf(ids_of, T.ArrayType(T.IntegerType()))(F.col(text_col).cast("string")))
+def round_trip(docs: DataFrame, path: str, pattern: str, text_col: str = "text", out: str = "coded") -> DataFrame:
+    """docs and a column ``out`` struct<ids array<int>, bytes binary>: what encode, and then decode, give, by one worker.
+
+    Otherwise as encode.
+    """
+    return docs.withColumn(out, _coded(docs, path, pattern, text_col, True))
 
 
 def decode(docs: DataFrame, path: str, ids_col: str = "ids", out: str = "bytes") -> DataFrame:
-    """docs and a binary column ``out`` of the bytes that the ids stand for; empty for null or no ids. A column
-    that was called ``out`` is replaced."""
+    """docs and a binary column ``out`` of the bytes that the ids stand for; empty for null or no ids.
+
+    Null where an id is null or not in the vocabulary. Rows and other columns stay as they are; a column that was called
+    ``out`` is replaced. An empty table gives no rows.
+    """
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(read_ranks(path))
-    made: list[dict[int, bytes]] = []
+    made: list[Spelling] = []
 
     def bytes_of(column: pa.Array) -> pa.Array:
         if not made:
-            made.append({rank: token for token, rank in shared.value.items()})
-        ends, values = np.asarray(column.offsets), np.asarray(column.values)
-        spell = made[0].__getitem__
-        return pa.array([b"".join(map(spell, values[a:b].tolist())) if b > a else b"" for a, b in zip(ends, ends[1:])], pa.binary())
+            made.append(Spelling(shared.value))
+        ids = [np.asarray(x.values.fill_null(-1)) if x.is_valid else np.empty(0, np.int32) for x in column]
+        return pa.array([made[0].bytes_of(x) if made[0].known(x).all() else None for x in ids], pa.binary())
 
     bytes_of.__annotations__ = {"column": pa.Array, "return": pa.Array}
     # The coalesce also keeps Spark from chaining this to the UDF that made the ids, which would then run twice.
