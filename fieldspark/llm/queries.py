@@ -124,28 +124,49 @@ SELECT pair_id, CAST(n AS BIGINT) AS n_prompt, len(c) AS n_chosen, len(r) AS n_r
 FROM texts
 """
 
-_TEMPLATES = ", ".join(f"({k}, '{label}', {exact}, '{text}')" for k, (exact, label, text) in enumerate([(True, *x) for x in licenses.BASE] + [(False, *x) for x in licenses.PASSAGES]))
+def _sql_list(xs) -> str:
+    return "[" + ", ".join(f"'{x}'" for x in xs) + "]::VARCHAR[]"
 
+
+_TEMPLATES = ", ".join(f"({k}, '{x.label}', {exact}, '{x.text}', {_sql_list(x.marks)}, {_sql_list(x.without)})" for k, (exact, x) in enumerate([(True, licenses.Passage(*x)) for x in licenses.BASE] + [(False, x) for x in licenses.PASSAGES]))
+
+# Each diagonal on which a passage has a word 3-gram in common with a text is a guess of the passage's place; the guess of most
+# 3-grams within six diagonals is tried. Its words (from where the first common 3-gram near it puts the passage's start to where
+# the last puts its end) (or up to six words further, if fewer edits do) must keep 75 % of the passage by word edits, hold its marks and none of its kin's words, and keep
+# more words than the rivals of other labels that overlap it.
 ORACLE_SQL["op2_licenses"] = f"""
 WITH docs AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{urls.UPPER}', '{urls.LOWER}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+') AS w FROM documents),
-templates(template, label, exact, text) AS (VALUES {_TEMPLATES}),
-tw AS (SELECT template, label, exact, string_split(text, ' ') AS w FROM templates),
-tg AS (SELECT template, label, exact, len(w) - 2 AS grams, unnest(list_transform(range(len(w) - 2), lambda i: {{'pos': i, 'gram': w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]}})) AS g FROM tw),
+templates(template, label, exact, text, marks, without) AS (VALUES {_TEMPLATES}),
+tw AS (SELECT *, string_split(text, ' ') AS w FROM templates),
+tg AS (SELECT template, exact, len(w) - 2 AS grams, unnest(list_transform(range(len(w) - 2), lambda i: {{'pos': i, 'gram': w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]}})) AS g FROM tw),
 dg AS (SELECT doc_id, unnest(list_transform(range(len(w) - 2), lambda i: {{'pos': i, 'gram': w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3]}})) AS g FROM docs),
-hits AS (SELECT doc_id, template, label, exact, grams, dg.g.pos AS pos, tg.g.pos AS tpos FROM dg JOIN tg ON dg.g.gram = tg.g.gram),
-votes AS (SELECT doc_id, template, label, exact, grams, pos - tpos AS d, min(pos) AS first, list(DISTINCT tpos) AS seen FROM hits GROUP BY ALL),
-steps AS (SELECT *, CASE WHEN exact OR coalesce(d - lag(d) OVER (PARTITION BY doc_id, template ORDER BY d) > 3, true) THEN 1 ELSE 0 END AS step FROM votes),
-numbered AS (SELECT *, sum(step) OVER (PARTITION BY doc_id, template ORDER BY d) AS span FROM steps),
-spans AS (
-  SELECT doc_id, template, span, any_value(label) AS label, any_value(exact) AS exact, min(first) AS first, len(list_distinct(flatten(list(seen)))) / any_value(grams) AS cover
-  FROM numbered GROUP BY doc_id, template, span),
-found AS (
-  SELECT doc_id, count(*) FILTER (exact AND cover = 1) AS n_base, min(first) FILTER (exact AND cover = 1) AS first_word, max(first) FILTER (exact AND cover = 1) AS last_word,
-    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (exact AND cover = 1) AS base_labels,
-    string_agg(DISTINCT label, ',' ORDER BY label) FILTER (CASE WHEN exact THEN cover = 1 ELSE cover >= 0.6 END) AS labels, max(cover) AS score
-  FROM spans GROUP BY doc_id)
-SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels,
-  CAST(coalesce(score, 0) AS DOUBLE) AS score
-FROM docs LEFT JOIN found USING (doc_id)
+hits AS (SELECT doc_id, template, exact, grams, dg.g.pos AS pos, tg.g.pos AS tpos FROM dg JOIN tg ON dg.g.gram = tg.g.gram),
+diagonals AS (SELECT doc_id, template, exact, grams, pos - tpos AS d, count(*) AS votes, min(tpos) AS head, max(tpos) AS tail FROM hits GROUP BY ALL),
+base AS (
+  SELECT doc_id, count(*) FILTER (votes = grams) AS n_base, min(d) FILTER (votes = grams) AS first_word, max(d) FILTER (votes = grams) AS last_word,
+    list_distinct(coalesce(list(label) FILTER (votes = grams), [])) AS labels, max(votes / grams) AS score
+  FROM diagonals JOIN templates USING (template) WHERE diagonals.exact GROUP BY doc_id),
+tried AS (
+  SELECT a.doc_id, a.template, a.d, arg_min(b.d, (b.head, -b.votes, b.d)) AS a, arg_max(b.d, (b.tail, b.votes, b.d)) AS b
+  FROM diagonals a JOIN diagonals b ON a.doc_id = b.doc_id AND a.template = b.template AND abs(a.d - b.d) <= 6 WHERE NOT a.exact
+  GROUP BY a.doc_id, a.template, a.d, a.votes HAVING (a.votes, -a.d) = max((b.votes, -b.d))),
+placed AS (
+  SELECT doc_id, template, d, label, marks, without, c.w AS t, docs.w AS w, greatest(a, 0) AS a, greatest(least(b + len(c.w), len(docs.w)) - 1, a, 0) AS b0 FROM tried JOIN tw c USING (template) JOIN docs USING (doc_id)),
+ended AS (SELECT * EXCLUDE (b0), unnest(range(b0, least(b0 + 6, len(w) - 1) + 1)) AS b FROM placed),
+spelt AS (
+  SELECT * EXCLUDE (w), w[a + 1 : b + 1] AS span, levenshtein(array_to_string(list_transform(w[a + 1 : b + 1], lambda x: chr(CAST(64 + coalesce(list_position(t, x), 0) AS INTEGER))), ''), array_to_string(list_transform(t, lambda x: chr(CAST(64 + list_position(t, x) AS INTEGER))), '')) AS edits
+  FROM ended),
+least AS (SELECT doc_id, template, d, arg_min(s, (edits, -b)) AS s FROM spelt s GROUP BY doc_id, template, d),
+spans AS (SELECT s.*, greatest(0, len(s.t) - s.edits) AS kept FROM least),
+scored AS (
+  SELECT *, kept / len(t) AS cover, kept / len(t) >= 0.75 AND len(list_filter(marks, lambda m: contains(' ' || array_to_string(span, ' ') || ' ', ' ' || m || ' '))) = len(marks) AND NOT list_has_any(span, without) AS valid FROM spans),
+won AS (
+  SELECT * FROM scored s WHERE valid AND NOT EXISTS (
+    SELECT 1 FROM scored r WHERE r.doc_id = s.doc_id AND r.valid AND r.label <> s.label AND r.a <= s.b AND r.b >= s.a AND (r.kept > s.kept OR (r.kept = s.kept AND r.template < s.template)))),
+passages AS (SELECT doc_id, max(cover) AS score FROM scored GROUP BY doc_id),
+labelled AS (SELECT doc_id, list(DISTINCT label) AS labels FROM won GROUP BY doc_id)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(labelled.labels, [])))), ',') AS labels, CAST(greatest(coalesce(base.score, 0), coalesce(passages.score, 0)) AS DOUBLE) AS score
+FROM docs LEFT JOIN base USING (doc_id) LEFT JOIN passages USING (doc_id) LEFT JOIN labelled USING (doc_id)
 """
