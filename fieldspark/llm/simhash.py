@@ -19,7 +19,7 @@ from itertools import accumulate, combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import bound_batches, cut, fresh, give_back
 
@@ -163,40 +163,75 @@ def components(edges: DataFrame) -> DataFrame:
         state = now
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3, key_bytes: int = 3) -> DataFrame:
+def spread_join(rows: DataFrame, table: DataFrame, key: str, hot: int = 1 << 14, few: int = 1_000_000) -> DataFrame:
+    """rows joined by key to a checkpointed table with a row for each key and the number ``n`` of rows that have it.
+
+    Keys of more than ``hot`` rows, of which there is one for each ``hot`` rows at most, are broadcast, so their rows stay where
+    they are and no task gets them all; others meet by a shuffle. Beyond ``few`` hot keys these are shuffled too.
+    """
+    large = table.filter(F.col("n") > hot).drop("n")
+    if not 0 < large.count() <= few:
+        return rows.join(table.drop("n"), key)
+    rest = rows.join(F.broadcast(large.select(key)), key, "left_anti")
+    return rest.join(table.filter(F.col("n") <= hot).drop("n"), key).unionByName(rows.join(F.broadcast(large), key))
+
+
+def _rooted(fps: DataFrame, first: str, max_bits: int, key_bytes: int) -> DataFrame:
+    """fps (fp, n, first) with the least ``first`` of each component in its place, checkpointed."""
+    stars = components(link_edges(fps.select("fp"), max_bits, key_bytes))
+    rooted = fps.join(stars, fps.fp == stars.node, "left").select("fp", F.col("n").alias("copies"), first, F.coalesce("root", "fp").alias("root"))
+    rooted = cut(rooted)
+    lows = cut(rooted.groupBy("root").agg(F.min(first).alias(first), F.count("*").alias("n")))
+    return cut(spread_join(rooted.drop(first), lows, "root").select("fp", F.col("copies").alias("n"), first))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3, key_bytes: int = 3, hot: int = 1 << 14) -> DataFrame:
     """One row for each row of docs: (id_col, fingerprint long, component_id).
 
     component_id is the smallest id that links reach, the row's own included. Null and empty texts have the
-    fingerprint 0, which links like any other. Null ids take part but are never a component's id, unless it has no
-    other. Repeated rows give repeated results. Other columns of docs are ignored; an empty table gives no rows.
+    fingerprint 0, which links like any other; long texts are read whole. Null ids take part but are never a component's id,
+    unless it has no other. Repeated rows give repeated results. Other columns of docs are ignored, whatever their names; an
+    empty table gives no rows. hot: fingerprints of more rows are not shuffled row by row.
     """
     rows = cut(with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), out="fp").select("id", "fp"))
-    return _with_component(rows, max_bits, key_bytes).select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
+    fps = cut(rows.groupBy("fp").agg(F.min("id").alias("component_id"), F.count("*").alias("n")))
+    found = spread_join(rows, _rooted(fps, "component_id", max_bits, key_bytes), "fp", hot)
+    return found.select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
 
 
-def _with_component(rows: DataFrame, max_bits: int, key_bytes: int) -> DataFrame:
-    """rows with columns (id, fp, ...) and the component_id of each."""
-    fps = cut(rows.groupBy("fp").agg(F.min("id").alias("low")))
-    stars = components(link_edges(fps.select("fp"), max_bits, key_bytes))
-    rooted = fps.join(stars, fps.fp == stars.node, "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    lows = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    return rows.join(rooted.join(lows, "root").select("fp", "component_id"), "fp")
+def _row_hash(docs: DataFrame) -> Column:
+    """A hash of all columns of a row, nulls and their places included."""
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    plain = [F.to_json(F.struct(c)) if "map<" in kind or kind == "variant" else c for c, (_, kind) in zip(cols, docs.dtypes)]
+    return F.xxhash64(*plain, *[c.isNull() for c in cols])
 
 
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", few: int = 1_000_000) -> DataFrame:
-    """docs without all but one row of each component: the row of the smallest id stays (one of them, if repeated; a
-    null id only where the component has no other). Columns stay as they are. Only (row number, id, fingerprint) is
-    dealt out; the numbers of dropped rows are broadcast if there are no more than ``few``, and joined otherwise. docs must be a table read from files, so
-    that reading it twice gives the same row numbers."""
-    (uid,) = fresh(docs, "uid")
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = cut(with_fingerprint(rows, out="fp").select("uid", "id", "fp"))
-    first = F.min(F.struct(F.col("id").isNull(), "id", "uid"))
-    fps = rows.groupBy("fp").agg(first.alias("first"))
-    stars = components(link_edges(cut(fps.select("fp"))))
-    rooted = fps.join(stars, fps.fp == stars.node, "left").select("first", F.coalesce("root", "fp").alias("root"))
-    kept = rooted.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.uid").alias("uid"))
-    dropped = cut(rows.select("uid").join(kept, "uid", "left_anti")).withColumnRenamed("uid", uid)
-    if dropped.count() <= few:
-        dropped = F.broadcast(dropped)
-    return docs.withColumn(uid, F.monotonically_increasing_id()).join(dropped, uid, "left_anti").drop(uid)
+    """docs without all but one row of each component: the row of the smallest id stays (a null id only where the component
+    has no other; of rows that share the id, one by hash). Columns stay as they are, whatever their names.
+
+    docs is read twice, and a row is known by its id and a hash of all its columns, so it does not matter how files are split
+    for either reading, nor in which order. Rows that are equal in every column are one row. Null and empty texts are
+    near-duplicates of each other; long texts are read whole; an empty table gives no rows. Only (id, hash, fingerprint) is
+    dealt out. The ids and hashes of dropped rows are broadcast if there are no more than ``few``, and joined otherwise.
+    """
+    id_, h, n = fresh(docs, "id", "hash", "n")
+    own, hashed = F.col(f"`{id_col}`"), _row_hash(docs)
+    rows = docs.select(own.alias("id"), hashed.alias("h"), F.col(f"`{text_col}`").alias("text"))
+    rows = cut(with_fingerprint(rows, out="fp").select("id", "h", "fp"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h"))
+    fps = cut(rows.groupBy("fp").agg(first.alias("first"), F.count("*").alias("n")))
+    kept = _rooted(fps, "first", 3, 3).select("first.id", "first.h").distinct()
+    keys = rows.groupBy("id", "h").agg(F.count("*").alias(n))
+    same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["h"] == b["h"])
+    dropped = cut(keys.join(kept, same(keys, kept), "left_anti").select(F.col("id").alias(id_), F.col("h").alias(h)))
+    repeated = cut(keys.filter(F.col(n) > 1).join(kept, same(keys, kept), "left_semi").select(F.col("id").alias(id_), F.col("h").alias(h)))
+    marked = lambda keys: (F.broadcast(keys) if keys.count() <= few else keys)
+    match = lambda keys: own.eqNullSafe(keys[id_]) & (hashed == keys[h])
+    left = docs.join(marked(dropped), match(dropped), "left_anti")
+    if repeated.isEmpty():
+        return left
+    repeated = marked(repeated)
+    whole = F.first(F.struct(*[F.col(f"`{c}`") for c in docs.columns])).alias(n)
+    once = left.join(repeated, match(repeated), "left_semi").groupBy(own.alias(id_), hashed.alias(h)).agg(whole).select(f"{n}.*")
+    return left.join(repeated, match(repeated), "left_anti").unionByName(once)
