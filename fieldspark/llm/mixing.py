@@ -13,14 +13,18 @@ Sizes, sums, targets, permutations and cuts are DataFrame expressions; no Python
 4. Within a shard, rows are ordered by hash.
 
 Only (source, size, hash) is dealt out and summed: what a row contributes follows from its hash and a few numbers of its
-source, so texts never move. The tree sees one number for each source and shard. A source's blocks are summed in two
-levels, so no window holds more than a block's documents, ``fan`` blocks, or a source's groups of ``fan`` blocks.
+source, so texts never move. The tree sees one number for each source and shard; the number of shards is bounded by that of
+sources unless the caller gives it. What the tree says is a table of cells: a cell is a run of a source's draws with the
+first shard there and where the next ones begin, about CELL of them, so a document finds its shard by one equality join and
+a look at CELL numbers, however many shards there are. A source's blocks are summed in two levels, so no window holds
+more than a block's documents, ``fan`` blocks, or a source's groups of ``fan`` blocks; the windows over sources and the
+tree's quotas hold a row for each source. Tables are broadcast if their bytes, which are counted, are few.
 """
 
 from __future__ import annotations
 
-import json
 import math
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
@@ -29,6 +33,12 @@ from .common import cut, fresh
 
 #: Runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Shards that begin in a cell, about.
+CELL = 64
+#: Numbers that the tree may hold, unless the caller asks for more shards.
+TREE = 1 << 22
+#: Bytes of a table that is broadcast, at most.
+FEW_BYTES = 32 << 20
 
 
 def n_words(text: Column) -> Column:
@@ -62,21 +72,26 @@ def split_quotas(quotas: np.ndarray, shards: int, seed: int = 0) -> np.ndarray:
     nodes = [(0, shards, np.asarray(quotas, np.int64))]
     while nodes:
         a, b, have = nodes.pop()
-        if b - a == 1:
+        whole = int(have.sum())
+        if b - a == 1 or not whole:
             out[:, a] = have
             continue
-        mid, whole = (a + b) // 2, int(have.sum())
-        rng = np.random.default_rng([seed, a, b])
-        want, rest, left = whole * (mid - a) // (b - a), whole, np.zeros_like(have)
-        for k, n in enumerate(have.tolist()):  # one hypergeometric draw for each source, given those before it
-            left[k] = n if rest == n and want >= n else _hypergeometric(rng, n, rest - n, want)
-            rest, want = rest - n, want - int(left[k])
+        mid = (a + b) // 2
+        left = np.random.default_rng([seed, a, b]).multivariate_hypergeometric(have, whole * (mid - a) // (b - a), method="marginals")
         nodes += [(a, mid, left), (mid, b, have - left)]
     return out
 
 
-def _hypergeometric(rng: np.random.Generator, good: int, bad: int, draws: int) -> int:
-    return int(rng.hypergeometric(good, bad, draws)) if draws and good else 0
+def tree_cells(turns: list[int], quotas: np.ndarray, shards: int, seed: int = 0) -> Iterator[tuple[int, int, int, int, list[int]]]:
+    """(turn, width, cell, shard, bounds) from the splitting tree: a source's draws of numbers from cell * width to below
+    (cell + 1) * width go to the shard, plus one for each of bounds that is not above the draw's number."""
+    for turn, quota, shares in zip(turns, quotas.tolist(), split_quotas(quotas, shards, seed)):
+        ends = shares.cumsum()[:-1]
+        width = max(1, math.ceil(quota * CELL / shards))
+        starts = np.arange(0, quota, width)
+        first, beyond = np.searchsorted(ends, starts, side="right"), np.searchsorted(ends, starts + width, side="left")
+        for cell, (a, b) in enumerate(zip(first.tolist(), beyond.tolist())):
+            yield turn, width, cell, a, ends[a:b].tolist()
 
 
 def cut_points(slim: DataFrame, per: DataFrame, fan: int) -> DataFrame:
@@ -95,13 +110,12 @@ def cut_points(slim: DataFrame, per: DataFrame, fan: int) -> DataFrame:
     return cut(end.select("turn", "b", "h", F.expr("(rest - done) div n").alias("each")))
 
 
-def _up_to(numbers: Column, most: Column) -> Column:
-    return F.filter(numbers, lambda x: x <= most)
-
-
-def _small(df: DataFrame, rows: int = 10_000) -> DataFrame:
-    """df, a checkpointed table with a few rows a source, marked for broadcast if it has no more than so many rows."""
-    return F.broadcast(df) if df.count() <= rows else df
+def _small(df: DataFrame) -> DataFrame:
+    """df, a checkpointed table, marked for broadcast if its rows, texts and arrays have few bytes."""
+    kinds = dict(df.dtypes)
+    sizes = [F.coalesce(F.octet_length(c), F.lit(0)) if kinds[c] == "string" else F.greatest(F.size(c), F.lit(0)) * 8 if kinds[c].startswith("array") else F.lit(0) for c in df.columns]
+    held = df.agg(F.sum(sum(sizes, F.lit(16 * len(sizes) + 32)).cast("long"))).first()[0] or 0
+    return F.broadcast(df) if held <= FEW_BYTES else df
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (3, 1, 2), total: float = 1.5, most: float = 2.0, shards: int | None = None, shard_words: int = 1 << 23, block: int = 256, fan: int = 512, seed: int = 0) -> DataFrame:
@@ -110,13 +124,14 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     draws: array<struct<pass, shard, words, place>>, a document's appearances in the mix (none, one or two): the output
     shard, the number of its words that are taken (all but for one document of each source) and its place within the
     shard. taken: the sum of words, at most ``most`` (2) times size. Null and empty texts have size 0 and are never
-    drawn. shards: how many, else one for each shard_words. Null sources are a source of their own. Equal rows tie: where a
+    drawn; very long ones are drawn whole but for a source's last. shards: how many, else one for each shard_words, as
+    far as the tree's TREE numbers go. Null sources are a source of their own. Equal rows tie: where a
     source's last words fall on several, each gives an equal part, rounded down. Reruns return the same rows. An empty
     table gives no rows.
     """
     if not 0 < most <= 2:
         raise ValueError("a document is drawn in two passes at most")
-    size, h, source_size, target, taken, draws, pre = fresh(docs, "size", "hash", "source_size", "target", "taken", "draws", "param")
+    size, h, source_size, target, taken, draws, pre, source_key, key, cell = fresh(docs, "size", "hash", "source_size", "target", "taken", "draws", "param", "source_key", "key", "cell")
     source = F.col(source_col).cast("string")
     hashed = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), source, F.col(text_col)), 2)
     slim = cut(docs.select(source.alias("source"), n_words(F.col(text_col)).alias("size"), hashed.alias("h")))
@@ -127,21 +142,25 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     per = cut(per.withColumn("rest", F.round("target").cast("long") - F.col("passes") * F.col("source_size")))
     per = per.join(cut_points(slim, per, fan), "turn", "left")
     per = cut(per.withColumn("quota", F.col("passes") * F.col("blocks") + F.coalesce(F.col("b") + 1, F.lit(0))))
-    quotas = per.select("turn", "quota", "target").orderBy("turn").collect()
-    shards = shards or max(1, math.ceil(sum(r.target for r in quotas) / shard_words))
-    bounds = split_quotas(np.array([r.quota for r in quotas], np.int64), shards, seed).cumsum(axis=1)
-    literal = F.lit(json.dumps([{"t": r.turn, "bounds": x} for r, x in zip(quotas, bounds.tolist())]))
-    tree = docs.sparkSession.range(1).select(F.inline(F.from_json(literal, "array<struct<t: int, bounds: array<bigint>>>")))
-    fields = F.struct("source", "source_size", "target", "blocks", "width", "passes", "h", "each", "bounds")
-    per = cut(per.join(tree, per.turn == tree.t, "left").select(fields.alias(pre)))
+    quotas = per.select("turn", "quota", "target").orderBy("turn").collect()  # a row for each source
+    most_shards = max(1, TREE // max(1, len(quotas)))
+    shards = shards or min(most_shards, max(1, math.ceil(sum(r.target for r in quotas) / shard_words)))
+    found = tree_cells([r.turn for r in quotas], np.array([r.quota for r in quotas], np.int64), shards, seed)
+    cells = cut(docs.sparkSession.createDataFrame(found, "turn int, width long, cell long, shard int, bounds array<long>"))
+    widths = cells.groupBy("turn").agg(F.first("width").alias("cell_width"))
+    fields = F.struct("turn", "source", "source_size", "target", "blocks", "width", "passes", "h", "each", "cell_width")
+    per = cut(per.join(widths, "turn", "left").select("source", fields.alias(pre)))
     rows = docs.withColumn(size, n_words(F.col(text_col))).withColumn(h, hashed)
-    rows = rows.join(_small(per), source.eqNullSafe(F.col(f"{pre}.source")), "left")
+    rows = rows.join(_small(per.withColumnRenamed("source", source_key)), source.eqNullSafe(F.col(source_key)), "left").drop(source_key)
     part = F.when(F.col(h) < F.col(f"{pre}.h"), F.col(size)).when(F.col(h) == F.col(f"{pre}.h"), F.col(f"{pre}.each")).otherwise(F.lit(0))
-    passes = []
+    cells, passes = _small(cells.drop("width")), []
     for k in range(2):
         words = F.when(F.col(f"{pre}.passes") > k, F.col(size)).when(F.col(f"{pre}.passes") == k, F.least(part, F.col(size))).otherwise(F.lit(0)).cast("long")
         draw = F.expr(f"{k} * {pre}.blocks + {h} div {pre}.width")
-        shard = F.size(_up_to(F.col(f"{pre}.bounds"), draw))
+        at = cells.select(F.struct("turn", "cell").alias(key), F.struct("shard", "bounds").alias(f"{cell}{k}"))
+        asked = F.when(words > 0, F.struct(F.col(f"{pre}.turn").alias("turn"), F.expr(f"({k} * {pre}.blocks + {h} div {pre}.width) div {pre}.cell_width").alias("cell")))
+        rows = rows.join(at, asked == F.col(key), "left").drop(key)
+        shard = F.col(f"{cell}{k}.shard") + F.size(F.filter(f"{cell}{k}.bounds", lambda x, draw=draw: x <= draw))
         passes.append(F.struct(F.lit(k).alias("pass"), shard.alias("shard"), words.alias("words"), F.xxhash64(F.lit(seed + 1 + k), h).alias("place")))
     rows = rows.withColumn(draws, F.filter(F.array(*passes), lambda x: x["words"] > 0))
     added = F.aggregate(draws, F.lit(0).cast("long"), lambda a, x: a + x["words"])

@@ -72,6 +72,37 @@ def test_tree_splits_every_quota_exactly():
     assert many.var() == pytest.approx(5 * 0.6 * 0.4 * 5 / 9, abs=0.08)
 
 
+def slow_shards(quotas, shards):
+    """The shard of each draw of each source, one by one."""
+    return [[k for k, n in enumerate(shares) for _ in range(n)] for shares in mixing.split_quotas(quotas, shards).tolist()]
+
+
+@pytest.mark.parametrize("shards", [1, 5, 700, 3000])
+def test_cells_say_each_draws_shard(shards):
+    quotas = np.array([1000, 0, 7, 333, 40000])
+    cells = {(turn, cell): (width, shard, bounds) for turn, width, cell, shard, bounds in mixing.tree_cells([0, 1, 2, 3, 4], quotas, shards)}
+    widths = {turn: width for (turn, _), (width, _, _) in cells.items()}
+    for turn, want in enumerate(slow_shards(quotas, shards)):
+        got = []
+        for draw in range(len(want)):
+            _, shard, bounds = cells[turn, draw // widths[turn]]
+            got.append(shard + sum(b <= draw for b in bounds))
+        assert got == want
+    assert max(len(bounds) for _, _, bounds in cells.values()) <= 3 * mixing.CELL + 60
+
+
+def test_a_hundred_thousand_shards(spark, monkeypatch):
+    rows = [(k, "w " * (k % 7), "abc"[k % 3]) for k in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mixed = lambda shards: {r.doc_id: (r.taken, r.draws) for r in mixing.mix(docs, block=1, fan=64, shards=shards).collect()}
+    out = mixed(100_000)
+    shards = [d.shard for _, draws in out.values() for d in draws]
+    assert len(out) == 3000 and all(0 <= s < 100_000 for s in shards) and len(set(shards)) > 1000
+    monkeypatch.setattr(mixing, "FEW_BYTES", 0)  # nothing is broadcast
+    assert mixed(100_000) == out
+    assert {k: taken for k, (taken, _) in mixed(3).items()} == {k: taken for k, (taken, _) in out.items()}
+
+
 def test_empty_and_wordless_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(none).count() == 0
