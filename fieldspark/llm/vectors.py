@@ -69,12 +69,6 @@ def matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
-def list_column(values: np.ndarray) -> pa.Array:
-    """A list column of equal-length rows."""
-    ends = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
-    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.ascontiguousarray(values).ravel()))
-
-
 class Best:
     """Collects (query, id, score) and keeps each query's best ``keep``, ties to the smaller id, in bounded space."""
 

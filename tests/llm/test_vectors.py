@@ -62,6 +62,38 @@ def test_ann_recall_and_exact_scores(spark):
     assert [i for i, _ in got[100]] == copies[1:21] and [i for i, _ in got[140]] == copies[:20]
 
 
+@pytest.mark.parametrize("hashes", [1, 2, 3])
+def test_buckets_nearest_to_a_row(hashes):
+    x = np.random.default_rng(4).normal(size=(40, 6))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    signed = ann.signed_axes(x, 1, hashes, 0)
+    width = signed[0].shape[1]
+    loss = np.zeros((40, 1))
+    for s in signed:
+        loss = (loss[:, :, None] + ((s.max(axis=1, keepdims=True) - s) ** 2)[:, None, :]).reshape(40, -1)
+    for probes in (1, 3, width**hashes // 9 + 1, width**hashes):
+        got = ann.nearest_buckets(signed, probes)
+        assert got.shape == (40, probes) and all(len(set(g)) == probes for g in got.tolist())
+        want = np.sort(loss, axis=1)[:, :probes]
+        if probes <= 3 or probes == width**hashes:
+            assert np.sort(np.take_along_axis(loss, got, axis=1), axis=1) == pytest.approx(want)
+
+
+@pytest.mark.parametrize("hashes,block", [(1, 50), (2, 7), (3, 1000)])
+def test_all_buckets_are_exact(spark, hashes, block):
+    """Copies in one cell, cells of many blocks, and probes of every bucket: what is found is what brute force finds."""
+    frame, rows = table(spark, n=300, d=5)
+    found = lists(ann.search(frame, F.col("id") % 20 == 0, tables=2, hashes=hashes, part=1.0, block=block))
+    want = brute(rows, lambda m, v: m @ v)
+    assert {k: [i for i, _ in v] for k, v in found.items() if k not in (100, 120, 140, 200, 220)} == {k: [i for i, _ in v] for k, v in want.items() if k not in (100, 120, 140, 200, 220)}
+    assert set(found) == set(want)
+
+
+def test_the_part_probed_falls_as_rows_grow():
+    parts = [ann.part_probed(n) for n in (0, 10, 10_000, 10**6, 10**9)]
+    assert parts[0] == 1.0 and parts == sorted(parts, reverse=True) and parts[-1] < 0.004
+
+
 def test_few_vectors_are_all_found(spark):
     rng = np.random.default_rng(2)
     frame = spark.createDataFrame([(20 * k, rng.normal(size=8).tolist()) for k in range(9)] + [(1, [1.0, 2.0])], "vec_id long, embedding array<double>")
