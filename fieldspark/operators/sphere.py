@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..functions.columns import finite
 from ..functions.constants import AREA_RADIUS
 from ..functions.geodesy import great_circle, lon_to_180
 from .nearest import knn_join, unit_vector
@@ -38,11 +39,14 @@ def cell_area(lat: DataFrame, lon: DataFrame, compat: bool = True) -> DataFrame:
 def nearest_neighbors(points: DataFrame, k: int, include_self: bool = True, id_col: str = "ncol") -> DataFrame:
     """(id_col, rank, neighbor_id, neighbor_dist): great-circle distances in radians; rank 0 is the point itself.
 
-    Without include_self, ranks start at 1. Distances that round to the same nine digits tie, to the smaller id.
+    Without include_self, ranks start at 1. Distances that round to the same nine digits tie, to the smaller id. Points
+    without a finite place have no neighbours and are none; an id stands for one point.
     """
+    points = points.filter(finite("lat") & finite("lon"))
     q = points.select(F.col(id_col).alias("q"), F.col("lat").cast("double").alias("qlat"), F.col("lon").cast("double").alias("qlon"))
     p = points.select(F.col(id_col).alias("p"), F.col("lat").cast("double").alias("plat"), F.col("lon").cast("double").alias("plon"))
-    apart = F.when(F.col("q") == F.col("p"), -1.0).otherwise(great_circle("qlat", "plat", "qlon", "plon"))
-    found = knn_join(q, p, ["q"], "p", lambda s: unit_vector(F.col(f"{s}lon"), F.col(f"{s}lat")), lambda: apart, k + 1, 4.0)
-    out = found.select(F.col("q").alias(id_col), (F.col("rank") - 1).alias("rank"), F.col("p").alias("neighbor_id"), F.greatest("distance", F.lit(0.0)).alias("neighbor_dist"))
-    return out if include_self else out.filter("rank > 0")
+    found = knn_join(q, p, ["q"], "p", lambda s: unit_vector(F.col(f"{s}lon"), F.col(f"{s}lat")), lambda: great_circle("qlat", "plat", "qlon", "plon"), k + 1, 4.0)
+    rank = F.row_number().over(W.partitionBy("q").orderBy(F.round("distance", 9), "p"))
+    others = found.filter("q <> p").withColumn("rank", rank).filter(F.col("rank") <= k)
+    out = others.select(F.col("q").alias(id_col), "rank", F.col("p").alias("neighbor_id"), F.greatest("distance", F.lit(0.0)).alias("neighbor_dist"))
+    return out.unionByName(q.select(F.col("q").alias(id_col), F.lit(0).alias("rank"), F.col("q").alias("neighbor_id"), F.lit(0.0).alias("neighbor_dist"))) if include_self else out
