@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..functions.columns import col, finite, present
 
@@ -85,18 +85,19 @@ class Bins:
 
 
 def _percent(out: DataFrame) -> DataFrame:
-    total = F.sum("bin_cnt").over(W.partitionBy())  # over bins, not cells
-    return out.withColumn("bin_pct", F.col("bin_cnt") / F.when(total > 0, total) * 100.0)
+    total = F.broadcast(out.agg(F.sum("bin_cnt").alias("__total")))  # one row
+    return out.crossJoin(total).withColumn("bin_pct", F.col("bin_cnt") / F.when(F.col("__total") > 0, F.col("__total")) * 100.0).drop("__total")
 
 
 def bin_by(cells: DataFrame, y: Column | str, x: Column | str, bins: Bins, weight: Column | str | None = None, method: str = "mean", keep_lev: Column | str | None = None, keep_time: Column | str | None = None, time: Column | str | None = None) -> DataFrame:
-    """(bin[, lev | time], bin_val, bin_std, bin_cnt, bin_pct); every bin has a row.
+    """(bin[, lev | time], bin_val, bin_std, bin_cnt, bin_pct); every bin has a row, in order of bins where nothing is kept.
 
     Without keep_*: method is 'max', 'std' or anything else for the mean, which the weight applies to. A cell whose y is
     missing still adds its weight, and still counts: bin_cnt is the number of x cells. keep_lev goes before keep_time
     and applies if there is more than one level: means by level, weighted ones by (level, ``time``) and then averaged
     over times; bin_cnt is the number of y values. keep_time applies if there is more than one time: (weighted) means by
-    time; bin_cnt is the bin's total, repeated; no bin_std. bin_std is the population's.
+    time; bin_cnt is the bin's total, repeated; no bin_std. bin_std is the population's. Where a dimension is to be kept, it
+    is read at once to see whether it has two values.
     """
     spark = cells.sparkSession
     v = present(y)
@@ -126,7 +127,7 @@ def bin_by(cells: DataFrame, y: Column | str, x: Column | str, bins: Bins, weigh
         out = grid.join(found, ["b", "lev"], "left")
     name = "lev" if kept == "lev" else "time"
     out = out.withColumnRenamed("t", "time") if kept == "t" else out
-    return _percent(out.select("bin", name, "bin_val", "bin_std", F.coalesce("n", F.lit(0)).alias("bin_cnt"))).orderBy("bin", name)
+    return _percent(out.select("bin", name, "bin_val", "bin_std", F.coalesce("n", F.lit(0)).alias("bin_cnt")))
 
 
 def bin_fields(vy: DataFrame, vx: DataFrame, y: str, x: str, bins: Bins, wgt: DataFrame | None = None, weight: str | None = None, **how) -> DataFrame:

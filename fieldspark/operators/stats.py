@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.columns import INF, NAN, col, finite, ieee_div, present
+from ..sources.checkpoints import cut
 
 
 def _stacked(one: DataFrame, variables: Sequence[str], fields: Sequence[str]) -> DataFrame:
@@ -49,7 +50,8 @@ def median_of_large_groups(df: DataFrame, value: str, by: Sequence[str] = (), sp
     keys = [f"__by{k}" for k in range(len(by))]
     rows = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys)], present(value).alias("x"))
     ends = F.percentile_approx("x", F.array(F.lit(0.5 - spread), F.lit(0.5 + spread)), F.lit(int(4 / spread)))
-    groups = rows.groupBy(*keys).agg(F.count("x").alias("n"), ends.alias("ends")).select(*keys, "n", F.get("ends", F.lit(0)).alias("low"), F.get("ends", F.lit(1)).alias("high")).persist()
+    groups = rows.groupBy(*keys).agg(F.count("x").alias("n"), ends.alias("ends")).select(*keys, "n", F.get("ends", F.lit(0)).alias("low"), F.get("ends", F.lit(1)).alias("high"))
+    groups = cut(groups)
     brackets = groups.withColumnsRenamed({k: f"{k}g" for k in keys})
     brackets = F.broadcast(brackets) if groups.count() <= few else brackets
     on = [rows[k].eqNullSafe(F.col(f"{k}g")) for k in keys]

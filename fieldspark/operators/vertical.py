@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from ..functions.columns import INF, finite, present, safe_ln
 from ..functions.moist import hybrid_pressure
 
+#: Levels of a table that is broadcast, at most.
+SHORT = 1000
 METHODS = {"linear": 1, "log": 2, "loglog": 3}
 
 
@@ -48,21 +50,26 @@ def _bracket(levels: DataFrame, by: Sequence[str], targets: Sequence[float], at,
     return rows.groupBy(*by, F.col("t").alias(out)).agg(F.max("v").alias("v")).select(*by, out, back(F.col("v")).alias("value"))
 
 
-def to_pressure(field: DataFrame, coef: DataFrame, surface: DataFrame, targets: Sequence[float] | float, value: str = "v", by: Sequence[str] = ("col",), lev: str = "lev", interp_type: str = "log", extrapolate: bool = False, p0: float = 1.0e5, a: str = "hyam", b: str = "hybm", ps: str = "ps", time: str = "time") -> DataFrame:
+def to_pressure(field: DataFrame, coef: DataFrame, surface: DataFrame, targets: Sequence[float] | float, value: str = "v", by: Sequence[str] = ("col",), lev: str = "lev", interp_type: str = "log", extrapolate: bool = False, p0: float = 1.0e5, a: str = "hyam", b: str = "hybm", ps: str = "ps", time: str = "time", validate: bool = True) -> DataFrame:
     """(*by, plev, value): a field on hybrid levels at pressures in Pa; missing outside the column, unless extrapolated.
 
     field: (*by, lev, value); coef: (lev, a, b), of whose times, if any, the first counts; surface: (keys, ps), keys being
     those of by. interp_type: 'linear', 'log' or 'loglog', in any case; anything else is 'log'. A column with a missing
     value or pressure, or for the logarithms a pressure of zero or less, is missing altogether. 'loglog' loses the
-    sign. Levels of coef and field that do not match are an error.
+    sign. Levels of coef and field that do not match are an error, for which the field's levels are read at once, in one
+    pass over that column; without validate, levels without coefficients take no part. coef: at most a thousand levels.
     """
     kind = METHODS.get(str(interp_type).lower(), 2)
     targets = [targets] if isinstance(targets, (int, float)) else list(targets)
     if time in coef.columns and time != lev:
         coef = coef.join(coef.agg(F.min(time).alias(time)), time).drop(time)
-    have, given = field.select(lev).distinct(), coef.select(lev)
-    if given.count() != have.count() or have.join(given, lev, "left_anti").limit(1).count():
-        raise ValueError("Hybrid coefficients do not match the field's levels")
+    given = [r[0] for r in coef.select(lev).limit(SHORT + 1).collect()]
+    if len(given) > SHORT:
+        raise ValueError(f"more than {SHORT} levels")
+    if validate:
+        have = {r[0] for r in field.select(lev).distinct().limit(len(given) + 1).collect()}
+        if have != set(given) or len(have) != len(given):
+            raise ValueError("Hybrid coefficients do not match the field's levels")
     keys = [c for c in by if c in surface.columns]
     if not keys:
         raise ValueError("the surface pressure shares no dimension with the field")
@@ -100,10 +107,12 @@ def to_height(field: DataFrame, heights: Sequence[float] | float, z: DataFrame |
 def layer_thickness(surface: DataFrame, levels: DataFrame, ps: str = "ps", lev: str = "lev") -> DataFrame:
     """surface x levels with column dp: the pressure between the levels before and after, cut off at the ground.
 
-    surface: pressures in Pa; levels: a short table of pressures in hPa, which ascend with ``lev``. The first level has none.
+    surface: pressures in Pa; levels: a table of at most a thousand pressures in hPa, which ascend with ``lev``. The first level has none.
     An inner level at or below the ground reaches from the level before it to the ground, as the last does. What is not
     positive is missing. Neighbours are found in the table of levels, so the surface is not shuffled.
     """
+    if levels.limit(SHORT + 1).count() > SHORT:
+        raise ValueError(f"more than {SHORT} levels")
     w = W.orderBy(lev)  # over the table of levels
     p = F.col(lev).cast("double") * 100.0
     table = levels.select(F.col(lev), p.alias("p"), F.lag(p).over(w).alias("before"), F.lead(p).over(w).alias("after"), F.row_number().over(w).alias("k"))

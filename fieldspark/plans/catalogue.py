@@ -11,8 +11,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import geodesy, moist
 from ..functions.columns import NAN
+from ..functions.constants import plev_default
 from ..operators import lanczos, raster, sphere, stats, vertical
-from ..operators.bins import Bins, bin_by, bin_by_two
+from ..operators.bins import Bins, bin_by, bin_by_two, bin_fields
 from ..sources.tables import table
 
 QUERIES: dict = {}
@@ -170,6 +171,21 @@ def bin_two_variables(spark, sf):
     return bin_by_two(table(spark, sf, "lineitem"), "l_extendedprice", "l_linenumber", "l_quantity", Bins.manual(1, 7, 2), EVEN)
 
 
+@query(f"""
+WITH bins(bin, bottom, top) AS (VALUES {values(EVEN)}),
+y AS (SELECT l_orderkey, l_linenumber, l_extendedprice AS v FROM lineitem WHERE l_orderkey % 3 <> 0),
+x AS (SELECT l_orderkey, l_linenumber, l_quantity AS q FROM lineitem WHERE l_orderkey % 5 <> 0),
+w AS (SELECT l_linenumber, l_linenumber * 5e-1 AS w FROM lineitem GROUP BY l_linenumber),
+cells AS (SELECT v, q, w FROM y JOIN x USING (l_orderkey, l_linenumber) JOIN w USING (l_linenumber)),
+agg AS (SELECT bin, sum(v * w) / nullif(sum(w), 0) AS v, stddev_pop(v) AS s, count(q) AS n FROM bins LEFT JOIN cells ON q >= bottom AND q < top GROUP BY bin)
+SELECT rnd(bin, 4) AS bin, rnd(v, 4) AS bin_val, rnd(s, 4) AS bin_std, n AS bin_cnt, rnd(n * 1e2 / sum(n) OVER (), 4) AS bin_pct FROM agg""")
+def bin_separate_fields(spark, sf):
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
+    vy, vx = lines.filter("l_orderkey % 3 <> 0").drop("l_quantity"), lines.filter("l_orderkey % 5 <> 0").drop("l_extendedprice")
+    weights = lines.select("l_linenumber", (F.col("l_linenumber") * 0.5).alias("w")).distinct()
+    return bin_fields(vy, vx, *CELLS, EVEN, wgt=weights, weight="w")
+
+
 PIXELS = "(SELECT c_custkey AS c, ((c_custkey * 97) % 360 - 180)::DOUBLE AS lon, ((c_custkey * 53) % 181 - 90)::DOUBLE AS lat FROM customer)"
 GRID = "(SELECT s_suppkey AS ncol, ((s_suppkey * 137) % 360)::DOUBLE AS lon, ((s_suppkey * 71) % 181 - 90)::DOUBLE AS lat, s_acctbal AS value FROM supplier)"
 COS = "sin(radians(lat)) * sin(radians({lat})) + cos(radians(lat)) * cos(radians({lat})) * cos(radians({lon} - lon))"
@@ -247,6 +263,15 @@ def cell_area(spark, sf):
     return sphere.cell_area(lat, lon).select("j", "i", (F.col("area") / 1e6).alias("area"))
 
 
+@query("""
+SELECT j, i, rnd((6.37122e6 * 20e0 * pi() / 180) * (6.37122e6 * (10e0 + j) * pi() / 180) * cos(radians(j / 2e0)) / 1e6, 2) AS area
+FROM (SELECT unnest(range(0, 9)) AS j) CROSS JOIN (SELECT unnest(range(0, 12)) AS i)""", 2)
+def cell_area_cosine(spark, sf):
+    lat = spark.range(9).select(F.col("id").alias("j"), F.lit(-5.0).alias("b0"), (5.0 + F.col("id")).alias("b1"))
+    lon = spark.range(12).select(F.col("id").alias("i"), F.lit(0.0).alias("b0"), F.lit(20.0).alias("b1"))
+    return sphere.cell_area(lat, lon, compat=False).select("j", "i", (F.col("area") / 1e6).alias("area"))
+
+
 @query("""
 SELECT k, rnd(CASE WHEN k = 0 THEN 2 * (0.1e0 - 0.02e0)
   ELSE (sin(2 * pi() * 0.1e0 * k) - sin(2 * pi() * 0.02e0 * k)) / (pi() * k) * (sin(pi() * k / 6) * 6 / (pi() * k)) END, 9) AS w
@@ -255,21 +280,37 @@ def lanczos_weights(spark, sf):
     return lanczos.weights(spark, 11, 0.1, 0.02)
 
 
+#: Weights of three neighbours.
+THREE = [0.25, 0.5, 0.25]
+
+
+@query("""
+WITH days AS (SELECT user_id % 8 AS k, CAST(ts AS DATE) AS day, sum(value) AS v FROM events GROUP BY ALL)
+SELECT k, epoch(day) / 86400 AS day, CASE WHEN lag(v) OVER w IS NOT NULL AND lead(v) OVER w IS NOT NULL THEN rnd(25e-2 * lag(v) OVER w + 5e-1 * v + 25e-2 * lead(v) OVER w, 4) END AS filtered
+FROM days WINDOW w AS (PARTITION BY k ORDER BY day)""")
+def filtered_series(spark, sf):
+    days = table(spark, sf, "events").groupBy((F.col("user_id") % 8).alias("k"), F.to_date("ts").alias("day")).agg(F.sum("value").alias("v"))
+    return lanczos.apply(days, THREE, "v", "day", ("k",)).select("k", F.unix_date("day").cast("double").alias("day"), "filtered")
+
+
 HALVES = """
 SELECT user_id, avg(value) FILTER (h = 0) AS d0, avg(value) FILTER (h = 1) AS d1, stddev_pop(value) FILTER (h = 0) AS s0, stddev_pop(value) FILTER (h = 1) AS s1,
   count(*) FILTER (h = 0) AS n0, count(*) FILTER (h = 1) AS n1
-FROM (SELECT user_id, value, CASE WHEN day(ts) <= 15 THEN 0 ELSE 1 END AS h FROM events) GROUP BY user_id HAVING n0 > 0 AND n1 > 0"""
-T_SQL = f"SELECT user_id, (d1 - d0) / sqrt(s0 * s0 / n0 + s1 * s1 / n1) AS t, s0 * s0 / n0 + s1 * s1 / n1 AS e, d1 - d0 AS d FROM ({HALVES})"
+FROM (SELECT user_id, CASE WHEN user_id % 41 <> 0 THEN value WHEN day(ts) <= 15 THEN 0e0 ELSE user_id % 3 - 1e0 END AS value, CASE WHEN day(ts) <= 15 THEN 0 ELSE 1 END AS h FROM events) GROUP BY user_id HAVING n0 > 0 AND n1 > 0"""
+ERRORS = f"SELECT user_id, s0 * s0 / n0 + s1 * s1 / n1 AS e, d1 - d0 AS d FROM ({HALVES})"
+T_SQL = f"SELECT *, CASE WHEN e > 0 THEN d / sqrt(e) WHEN d > 0 THEN 'inf'::DOUBLE WHEN d < 0 THEN '-inf'::DOUBLE ELSE 'nan'::DOUBLE END AS t FROM ({ERRORS})"
 
 
 def t_values(spark, sf) -> DataFrame:
-    h = F.dayofmonth("ts") <= 15
-    sides = [f(F.when(on, F.col("value"))).alias(f"{n}{k}") for k, on in ((0, h), (1, ~h)) for n, f in (("d", F.avg), ("s", F.stddev_pop), ("n", F.count))]
+    """Statistics of the halves of months; every 41st user has the same value all through each half."""
+    h, user = F.dayofmonth("ts") <= 15, F.col("user_id")
+    value = F.when(user % 41 != 0, F.col("value")).when(h, 0.0).otherwise(user % 3 - 1.0)
+    sides = [f(F.when(on, value)).alias(f"{n}{k}") for k, on in ((0, h), (1, ~h)) for n, f in (("d", F.avg), ("s", F.stddev_pop), ("n", F.count))]
     both = table(spark, sf, "events").groupBy("user_id").agg(*sides).filter("n0 > 0 and n1 > 0")
     return both.select("user_id", stats.t_stat("d0", "d1", "s0", "s1", "n0", "n1").alias("t_stat"))
 
 
-@query(f"SELECT user_id, rnd(t, 6) AS t_stat FROM ({T_SQL}) WHERE e > 0", 6)
+@query(f"SELECT user_id, rnd(t, 6) AS t_stat FROM ({T_SQL})", 6)
 def t_stat(spark, sf):
     return t_values(spark, sf)
 
@@ -291,10 +332,10 @@ def summary_stats(spark, sf):
 DIRTY = "(SELECT event_type, CASE WHEN event_id % 97 = 0 THEN 'nan'::DOUBLE WHEN event_id % 89 = 0 THEN 'inf'::DOUBLE WHEN event_id % 83 = 0 THEN NULL ELSE value END AS value FROM events)"
 
 
-def dirty(spark, sf) -> DataFrame:
+def dirty(spark, sf, *more: str) -> DataFrame:
     e = F.col("event_id")
     bad = F.when(e % 97 == 0, NAN).when(e % 89 == 0, float("inf")).when(e % 83 == 0, F.lit(None).cast("double")).otherwise(F.col("value"))
-    return table(spark, sf, "events").select("event_type", bad.alias("value"))
+    return table(spark, sf, "events").select("event_type", *more, bad.alias("value"))
 
 
 @query(f"SELECT event_type, rnd(median(value) FILTER (NOT isnan(value)), 4) AS median FROM {DIRTY} GROUP BY event_type")
@@ -302,6 +343,14 @@ def median_skipna(spark, sf):
     return stats.median(dirty(spark, sf), "value", ["event_type"])
 
 
+@query(f"""
+SELECT event_type, user_id % 50 AS k, CASE WHEN count(*) FILTER (value IS NULL OR isnan(value)) > 0 THEN 'nan'::DOUBLE ELSE rnd(median(value), 4) END AS median
+FROM {DIRTY.replace("event_type,", "event_type, user_id,")} GROUP BY ALL""")
+def median_with_missing(spark, sf):
+    rows = dirty(spark, sf, "user_id").withColumn("k", F.col("user_id") % 50)
+    return stats.median(rows, "value", ["event_type", "k"], skipna=False)
+
+
 @query(f"SELECT event_type, rnd(median(value) FILTER (NOT isnan(value)), 4) AS median FROM {DIRTY} GROUP BY event_type")
 def median_bracketed(spark, sf):
     return stats.median_of_large_groups(dirty(spark, sf), "value", ["event_type"])
@@ -326,6 +375,18 @@ def time_extent(spark, sf):
     return out.select("n", *[stats.micros(c, kinds[c]).alias(f"{c}_us") for c in ("first", "last")], "seconds")
 
 
+@query("""
+WITH t AS (SELECT date_trunc('day', ts) AS t FROM events GROUP BY ALL)
+SELECT count(*) AS n, epoch_us(min(t)) AS first_us, epoch_us(max(t)) AS last_us, rnd((epoch_us(max(t)) - epoch_us(min(t))) / 1e6 + 129600, 3) AS seconds, true AS from_bounds FROM t""", 3)
+def time_extent_bounds(spark, sf):
+    """Days, each from noon before to the midnight after."""
+    days = table(spark, sf, "events").select(F.date_trunc("day", "ts").alias("t")).distinct()
+    days = days.select("t", (F.col("t") - F.expr("INTERVAL 12 HOURS")).alias("b0"), (F.col("t") + F.expr("INTERVAL 24 HOURS")).alias("b1"))
+    out = stats.time_extent(days, "t", ("b0", "b1"))
+    kinds = dict(out.dtypes)
+    return out.select("n", *[stats.micros(c, kinds[c]).alias(f"{c}_us") for c in ("first", "last")], "seconds", "from_bounds")
+
+
 @query("""
 WITH lev(lev, p, before, after) AS (SELECT l, l * 100, lag(l * 100) OVER (ORDER BY l), lead(l * 100) OVER (ORDER BY l) FROM (VALUES (200e0), (400e0), (600e0), (800e0), (900e0), (1000e0)) x(l)),
 t AS (SELECT c_custkey AS ncol, 70000e0 + (c_custkey * 13) % 40000 AS ps, * FROM customer CROSS JOIN lev),
@@ -404,6 +465,17 @@ def interp_default_levels(spark, sf):
     return vertical.to_default_pressure(cells, coefficients(spark), surf, [1000, 850, 500, 250])
 
 
+@query(bracket_sql("ln(p)", "v", "ln(t)", "r", ", ".join(f"({p}00e0)" for p in plev_default), "v IS NULL", False).format(name="plev", digits=4))
+def interp_28_levels(spark, sf):
+    cells, surf = columns(spark, sf)
+    return vertical.to_default_pressure(cells, coefficients(spark), surf)
+
+
+@query("SELECT rnd(unnest([" + ", ".join(map(str, plev_default)) + "]) * 1e2, 2) AS pa", 2)
+def default_levels_in_pa(spark, sf):
+    return spark.range(1).select(F.explode(F.array(*map(F.lit, plev_default))).alias("hpa")).select(moist.hpa_to_pa(F.col("hpa").cast("double")).alias("pa"))
+
+
 @query(bracket_sql("z", "v", "t", "r", "(150e0), (250e0), (300e0), (350e0)", "false", False).format(name="height", digits=4))
 def interp_height(spark, sf):
     cells, _ = columns(spark, sf)
@@ -426,6 +498,16 @@ def knn_sphere(spark, sf):
     return sphere.nearest_neighbors(suppliers(spark, sf), 3)
 
 
+@query(f"""
+WITH d AS (
+  SELECT a.ncol, b.ncol AS p, acos(greatest(-1, least(1, sin(radians(a.lat)) * sin(radians(b.lat)) + cos(radians(a.lat)) * cos(radians(b.lat)) * cos(radians(b.lon - a.lon))))) AS d
+  FROM {GRID} a JOIN {GRID} b ON a.ncol <> b.ncol),
+r AS (SELECT *, row_number() OVER (PARTITION BY ncol ORDER BY round(d, 9), p) AS rank FROM d)
+SELECT ncol, CAST(rank AS INTEGER) AS rank, p AS neighbor_id, rnd(d, 6) AS neighbor_dist FROM r WHERE rank <= 2""", 6)
+def knn_sphere_without_self(spark, sf):
+    return sphere.nearest_neighbors(suppliers(spark, sf), 2, include_self=False)
+
+
 def raster_sql(k: int, cells: str) -> str:
     dist = f"CASE WHEN abs(q.lat) > 60 THEN {HAV.format(a='q.lat', b='g.lat', c='q.lon', d='g.glon')} ELSE sqrt((q.lon - g.glon) ** 2 + (q.lat - g.lat) ** 2) END"
     return f"""
@@ -460,3 +542,36 @@ SELECT CAST(iy AS INTEGER) AS iy, CAST(ix AS INTEGER) AS ix, rnd(CASE WHEN ix =
 FROM (SELECT unnest(range(0, 12)) AS iy) CROSS JOIN (SELECT unnest(range(0, 24)) AS ix)""")
 def pixel_grid(spark, sf):
     return raster.pixels(spark, raster.RasterSpec.of((-180, 180, -90, 90), 24, 12)).select("iy", "ix", "x", "y")
+
+
+def disc_sql(x: str, y: str) -> str:
+    return f"""
+WITH g AS (SELECT ix, iy, {x} AS x, {y} AS y FROM (SELECT unnest(range(0, 15)) AS iy) CROSS JOIN (SELECT unnest(range(0, 20)) AS ix))"""
+
+
+@query(
+    disc_sql("CASE WHEN ix = 19 THEN 1.1e0 ELSE -1.1e0 + ix * (2.2e0 / 19) END", "CASE WHEN iy = 14 THEN 1.1e0 ELSE -1.1e0 + iy * (2.2e0 / 14) END")
+    + """, c AS (SELECT *, sqrt(x * x + y * y) AS r, asin(least(sqrt(x * x + y * y), 1)) AS c FROM g)
+SELECT CAST(iy AS INTEGER) AS iy, CAST(ix AS INTEGER) AS ix, CASE WHEN r <= 1 THEN rnd(10 + degrees(atan2(x * sin(c), r * cos(radians(40)) * cos(c) - y * sin(radians(40)) * sin(c))), 6) END AS lon,
+  CASE WHEN r <= 1 THEN rnd(degrees(asin(cos(c) * sin(radians(40)) + y * sin(c) * cos(radians(40)) / r)), 6) END AS lat FROM c""", 6
+)
+def pixels_orthographic(spark, sf):
+    """Pixels off the globe are missing."""
+    out = raster.pixels(spark, raster.RasterSpec.of((-1.1, 1.1, -1.1, 1.1), 20, 15, projection="orthographic", lon0=10.0, lat0=40.0))
+    return out.select("iy", "ix", *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("lon", "lat")])
+
+
+@query(
+    disc_sql("CASE WHEN ix = 19 THEN 2.7e0 ELSE -2.7e0 + ix * (5.4e0 / 19) END", "CASE WHEN iy = 14 THEN 1.4e0 ELSE -1.4e0 + iy * (2.8e0 / 14) END")
+    + ", t(k, len, dist) AS (VALUES " + ", ".join(f"({k}, {a!r}::DOUBLE, {b!r}::DOUBLE)" for k, (a, b) in enumerate(zip(geodesy.ROBINSON_LENGTH, geodesy.ROBINSON_DISTANCE)))
+    + """), seg AS (SELECT k, len, dist, lead(len) OVER w AS len1, lead(dist) OVER w AS dist1 FROM t WINDOW w AS (ORDER BY k)),
+p AS (
+  SELECT iy, ix, x, y, k + (abs(y) / 1.3523e0 - dist) / (dist1 - dist) AS step, len + (abs(y) / 1.3523e0 - dist) / (dist1 - dist) * (len1 - len) AS len
+  FROM g LEFT JOIN seg ON abs(y) / 1.3523e0 >= dist AND abs(y) / 1.3523e0 < dist1),
+q AS (SELECT *, degrees(x / (0.8487e0 * len)) AS turn FROM p)
+SELECT CAST(iy AS INTEGER) AS iy, CAST(ix AS INTEGER) AS ix, CASE WHEN abs(turn) <= 180 THEN rnd(turn - 30, 6) END AS lon, CASE WHEN abs(turn) <= 180 THEN rnd(sign(y) * 5 * step, 6) END AS lat FROM q""", 6
+)
+def pixels_robinson(spark, sf):
+    """Pixels off the map are missing."""
+    out = raster.pixels(spark, raster.RasterSpec.of((-2.7, 2.7, -1.4, 1.4), 20, 15, projection="robinson", lon0=-30.0))
+    return out.select("iy", "ix", *[F.nanvl(c, F.lit(None).cast("double")).alias(c) for c in ("lon", "lat")])

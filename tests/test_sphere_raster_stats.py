@@ -130,6 +130,19 @@ def test_lanczos(spark):
     assert [r.filtered for r in lanczos.apply(series, [0.25, 0.5, 0.25], "v", "t").orderBy("t").collect()] == [None, 1, 2, 3, 4, None]
 
 
+def test_filter_of_a_long_series_in_chunks(spark):
+    w = [0.1, 0.2, 0.4, 0.2, 0.1]
+    values = [None if k in (40, 41) else float(k * k % 97) for k in range(500)]
+    series = spark.createDataFrame([(3 * k, v) for k, v in enumerate(values)], "t int, v double").repartition(3)
+    want = [None if k < 2 or k > 497 or None in values[k - 2 : k + 3] else sum(a * b for a, b in zip(w, values[k - 2 : k + 3])) for k in range(500)]
+    for chunk in (1000, 60, 1):  # one window, chunks, and chunks shorter than the window's reach
+        out = lanczos.apply(series, w, "v", "t", chunk=chunk)
+        assert out.columns == ["t", "v", "filtered"]
+        got = [r.filtered for r in out.orderBy("t").collect()]
+        assert [g is None for g in got] == [x is None for x in want]
+        assert [g for g in got if g is not None] == pytest.approx([x for x in want if x is not None])
+
+
 def test_statistics(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", NAN), ("a", 4.0), ("b", 7.0), ("b", None)], "g string, v double")
     s = stats.summary(df, ["v"]).first()
@@ -185,3 +198,39 @@ def test_extent(spark):
     assert stats.time_extent_text(at(1), bounds=("b0", "b1")) == head + "1 days  (single period, from time_bnds)"
     assert stats.time_extent_text(at(1)) == head + "single time value, no bounds available"
     assert stats.time_extent_text(at(1).drop("time"), color="\033[91m") == "\033[91m" + head + "no time dimension\033[0m"
+
+
+def test_neighbors_in_clusters_and_far_away(spark):
+    """Crowded places, one place with many points, lonely points, and points without a place."""
+    rng = np.random.default_rng(8)
+    lat = np.concatenate([40 + rng.normal(0, 1e-3, 1500), -20 + rng.normal(0, 0.5, 300), np.full(400, 10.0), rng.uniform(-80, 80, 40)])
+    lon = np.concatenate([100 + rng.normal(0, 1e-3, 1500), 30 + rng.normal(0, 0.5, 300), np.full(400, 10.0), rng.uniform(-180, 180, 40)])
+    n = len(lat)
+    rows = [(k, float(a), float(b)) for k, (a, b) in enumerate(zip(lat, lon))] + [(n, None, 1.0), (n + 1, NAN, 1.0), (n + 2, 1.0, math.inf)]
+    points = spark.createDataFrame(rows, "ncol long, lat double, lon double").repartition(3)
+    a, b = np.radians(lat), np.radians(lon)
+    got: dict = {}
+    for r in sphere.nearest_neighbors(points, 3, include_self=False).collect():
+        got.setdefault(r.ncol, []).append((r["rank"], r.neighbor_id, r.neighbor_dist))
+    assert set(got) == set(range(n))
+    for k in range(n):
+        d = np.arccos(np.clip(np.sin(a[k]) * np.sin(a) + np.cos(a[k]) * np.cos(a) * np.cos(b - b[k]), -1, 1))
+        d[k] = 9
+        found = sorted(got[k])
+        assert [r for r, _, _ in found] == [1, 2, 3]
+        assert [x for _, _, x in found] == pytest.approx(np.sort(d)[:3].tolist(), abs=5e-8)
+    assert [i for _, i, _ in sorted(got[1801])] == [1800, 1802, 1803]
+
+
+def test_queries_far_from_all_points(spark):
+    rng = np.random.default_rng(9)
+    grid = [(k, float(x), float(y), float(k)) for k, (x, y) in enumerate(rng.normal(0, 0.01, (700, 2)) + [170, 50])]
+    spots = [(k, float(x), float(y)) for k, (x, y) in enumerate(rng.uniform(-59, 59, (50, 2)) - [100, 0])]
+    cells = spark.createDataFrame(grid, "ncol long, glon double, glat double, value double")
+    query = spark.createDataFrame(spots, "c long, lon double, lat double")
+    got = {}
+    for r in raster.nearest_cells(query, cells, 4, ["c"], use_spherical=False).collect():
+        got[r.c, r["rank"]] = r.ncol
+    for k, x, y in spots:
+        order = sorted(grid, key=lambda g: (round(math.hypot(x - g[1], y - g[2]), 9), g[0]))[:4]
+        assert [got[k, r] for r in (1, 2, 3, 4)] == [g[0] for g in order]
