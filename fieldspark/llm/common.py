@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import ctypes
 import re
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,30 +11,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from ..sources.checkpoints import cut, ensure_checkpoint_dir  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The session's spark.checkpoint.dir; one of our own only in local mode where it is unset."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", "")
-    if not shared:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        shared = tempfile.mkdtemp(prefix="checkpoints")
-    sc.setCheckpointDir(shared)
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by a reliable checkpoint, which survives the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def crc_bucket(id_col: str, n: int):
     """crc32 of the id as decimal text, modulo n; null ids count as the text ''."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n

@@ -13,6 +13,7 @@ into blocks, and each pair of blocks is a task's group of its own, so that no gr
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import accumulate, combinations
 
@@ -24,7 +25,9 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from .common import bound_batches, cut, fresh, give_back
 
 SEED = 42
-CHUNK = 1 << 16
+#: Bytes of a text whose words are held at once.
+PORTION = 1 << 18
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def position_sets(key_bytes: int, shared: int) -> list[tuple[int, ...]]:
@@ -37,26 +40,43 @@ def position_sets(key_bytes: int, shared: int) -> list[tuple[int, ...]]:
     return family
 
 
-def fingerprint(text: bytes | None, shingle: int = 3) -> int:
-    """Signed 64-bit SimHash of ASCII-lower-cased words between ASCII white space; 0 for null or no words."""
-    words = (text or b"").lower().split()
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    if len(words) <= shingle:
-        hashes = [xxhash.xxh64_intdigest(joined, SEED)]
-    else:
+def portions(text: bytes, size: int = PORTION) -> Iterator[bytes]:
+    """The text in pieces of about ``size`` bytes, cut at white space; a longer word is not cut."""
+    a = 0
+    while len(text) - a > size:
+        space = SPACE.search(text, a + size)
+        if space is None:
+            break
+        yield text[a : space.start()]
+        a = space.start()
+    yield text[a:]
+
+
+def fingerprint(text: bytes | None, shingle: int = 3, size: int = PORTION) -> int:
+    """Signed 64-bit SimHash of ASCII-lower-cased words between ASCII white space; 0 for null or no words. Only the words of a
+    portion of the text are held at a time."""
+    ones, n, words, digest = np.zeros(64, np.int64), 0, [], xxhash.xxh64_intdigest
+    for part in portions(text or b"", size):
+        words += part.lower().split()
+        if len(words) < shingle:
+            continue
+        joined = b" ".join(words)
         lengths = list(map(len, words))
-        starts = [0, *accumulate(n + 1 for n in lengths)]
-        ends = [s + n for s, n in zip(starts, lengths)]
-        digest = xxhash.xxh64_intdigest
-        hashes = [digest(joined[a:b], SEED) for a, b in zip(starts, ends[shingle - 1 :])]
-    ones = np.zeros(64, np.int64)
-    for k in range(0, len(hashes), CHUNK):
-        part = np.array(hashes[k : k + CHUNK], ">u8")
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    bits = np.packbits((2 * ones > len(hashes)).astype(np.uint8))
-    return int(bits.view(">i8")[0])
+        starts = [0, *accumulate(k + 1 for k in lengths)]
+        hashes = [digest(joined[a : starts[k + shingle - 1] + lengths[k + shingle - 1]], SEED) for k, a in enumerate(starts[: len(words) - shingle + 1])]
+        ones += _ones(hashes)
+        n += len(hashes)
+        words = words[len(words) - shingle + 1 :]
+    if not n:
+        if not words:
+            return 0
+        ones, n = _ones([digest(b" ".join(words), SEED)]), 1
+    return int(np.packbits((2 * ones > n).astype(np.uint8)).view(">i8")[0])
+
+
+def _ones(hashes: list[int]) -> np.ndarray:
+    """In how many hashes each bit is 1."""
+    return np.unpackbits(np.array(hashes, ">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
 
 
 @F.arrow_udf(T.LongType())
@@ -149,18 +169,18 @@ def link_edges(fps: DataFrame, max_bits: int = 3, key_bytes: int = 3, block: int
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (u, v) but the roots: root is the smallest node of the component."""
     e = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    state = None
+    n, state = e.count(), None
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         e1 = both.filter("v > u").join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = e1.groupBy("u").agg(F.min("v").alias("m"))
         joined = e1.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
-        e = cut(joined.select("x.u", "x.v").filter("u <> v").distinct())
+        e = cut(joined.select("x.u", "x.v").filter("u <> v").distinct(), 4 * n)  # two rows for each edge, twice
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = now
+        n, state = now[0], now
 
 
 def spread_join(rows: DataFrame, table: DataFrame, key: str, hot: int = 1 << 14, few: int = 1_000_000) -> DataFrame:
@@ -177,12 +197,13 @@ def spread_join(rows: DataFrame, table: DataFrame, key: str, hot: int = 1 << 14,
 
 
 def _rooted(fps: DataFrame, first: str, max_bits: int, key_bytes: int) -> DataFrame:
-    """fps (fp, n, first) with the least ``first`` of each component in its place, checkpointed."""
+    """fps (fp, n, first), a checkpoint, with the least ``first`` of each component in its place."""
+    rows = fps.count()
     stars = components(link_edges(fps.select("fp"), max_bits, key_bytes))
     rooted = fps.join(stars, fps.fp == stars.node, "left").select("fp", F.col("n").alias("copies"), first, F.coalesce("root", "fp").alias("root"))
-    rooted = cut(rooted)
-    lows = cut(rooted.groupBy("root").agg(F.min(first).alias(first), F.count("*").alias("n")))
-    return cut(spread_join(rooted.drop(first), lows, "root").select("fp", F.col("copies").alias("n"), first))
+    rooted = cut(rooted, rows)
+    lows = cut(rooted.groupBy("root").agg(F.min(first).alias(first), F.count("*").alias("n")), rows)
+    return cut(spread_join(rooted.drop(first), lows, "root").select("fp", F.col("copies").alias("n"), first), rows)
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bits: int = 3, key_bytes: int = 3, hot: int = 1 << 14) -> DataFrame:
@@ -194,7 +215,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty table gives no rows. hot: fingerprints of more rows are not shuffled row by row.
     """
     rows = cut(with_fingerprint(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), out="fp").select("id", "fp"))
-    fps = cut(rows.groupBy("fp").agg(F.min("id").alias("component_id"), F.count("*").alias("n")))
+    fps = cut(rows.groupBy("fp").agg(F.min("id").alias("component_id"), F.count("*").alias("n")), rows.count())
     found = spread_join(rows, _rooted(fps, "component_id", max_bits, key_bytes), "fp", hot)
     return found.select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
 
@@ -220,12 +241,13 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     rows = docs.select(own.alias("id"), hashed.alias("h"), F.col(f"`{text_col}`").alias("text"))
     rows = cut(with_fingerprint(rows, out="fp").select("id", "h", "fp"))
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h"))
-    fps = cut(rows.groupBy("fp").agg(first.alias("first"), F.count("*").alias("n")))
+    count = rows.count()
+    fps = cut(rows.groupBy("fp").agg(first.alias("first"), F.count("*").alias("n")), count)
     kept = _rooted(fps, "first", 3, 3).select("first.id", "first.h").distinct()
     keys = rows.groupBy("id", "h").agg(F.count("*").alias(n))
     same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["h"] == b["h"])
-    dropped = cut(keys.join(kept, same(keys, kept), "left_anti").select(F.col("id").alias(id_), F.col("h").alias(h)))
-    repeated = cut(keys.filter(F.col(n) > 1).join(kept, same(keys, kept), "left_semi").select(F.col("id").alias(id_), F.col("h").alias(h)))
+    dropped = cut(keys.join(kept, same(keys, kept), "left_anti").select(F.col("id").alias(id_), F.col("h").alias(h)), count)
+    repeated = cut(keys.filter(F.col(n) > 1).join(kept, same(keys, kept), "left_semi").select(F.col("id").alias(id_), F.col("h").alias(h)), count)
     marked = lambda keys: (F.broadcast(keys) if keys.count() <= few else keys)
     match = lambda keys: own.eqNullSafe(keys[id_]) & (hashed == keys[h])
     left = docs.join(marked(dropped), match(dropped), "left_anti")

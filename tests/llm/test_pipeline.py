@@ -72,3 +72,31 @@ def test_run_gives_the_rows_of_the_last_stage(spark, corpus):
     again = corpus_pipeline.run(spark, home)
     rows = sorted((r.doc_id, list(r.ids)) for r in out.collect())
     assert rows and rows == sorted((r.doc_id, list(r.ids)) for r in again.collect())
+
+
+def test_hard_rows_through_all_stages(spark, corpus, tmp_path):
+    """Nulls, repeated rows, clashing names and a very long text; and then no rows at all."""
+    home, docs = corpus
+    long_text = " ".join(WORDS["en"] * 4000)
+    rows = docs + [(3000, long_text, "en", "a", 0, None), (3000, long_text, "en", "a", 0, None), (None, None, None, None, None, None)]
+    names = "doc_id long, text string, lang string, source string, n_chars long, size string"
+    for name, part in (("hard", rows), ("none", [])):
+        spark.createDataFrame(part, names).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.read.parquet(f"{home}/labels.parquet").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert bool(out) == bool(part)
+        for r in out:
+            if r.doc_id == 3000:
+                whole = TOKENIZER.encode_ordinary(long_text)
+                assert list(r.ids) == whole[: r.n_tokens] or r.n_tokens == len(whole)
+        assert len({r.doc_id for r in out if r.doc_id == 3000}) <= 1
+
+
+def test_only_the_table_that_the_result_reads_remains(spark, corpus):
+    home, _ = corpus
+    out = corpus_pipeline.run(spark, home)
+    read = {f.rsplit("/", 2)[0] for f in out.inputFiles()}
+    assert len(read) == 1
+    folder = spark._jvm.org.apache.hadoop.fs.Path(read.pop())
+    left = folder.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(folder)
+    assert [x.getPath().getName() for x in left] == ["3-mixing"] and out.count()

@@ -123,6 +123,13 @@ def test_spread_join_keeps_every_row(spark, few):
     assert sorted(r.k for r in out) == list(range(200)) and all(r.v == want[r.key] for r in out)
 
 
+@pytest.mark.parametrize("size", [1, 7, 40, 1000])
+def test_portions_change_no_fingerprint(size):
+    for _, text in corpus():
+        signed = simhash.fingerprint((text or "").encode(), size=size)
+        assert signed % 2**64 == slow_fingerprint(text)
+
+
 def test_very_long_text(spark):
     text = "some words again " * 200_000
     docs = spark.createDataFrame([(1, text), (2, text + "end"), (3, "else")], "doc_id long, text string")
