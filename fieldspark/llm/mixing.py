@@ -37,6 +37,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 CELL = 64
 #: Numbers that the tree may hold, unless the caller asks for more shards.
 TREE = 1 << 22
+#: Rows of a table of sources that one file holds; windows over them run in one task as it is.
+SOURCES = 1 << 18
 #: Bytes of a table that is broadcast, at most.
 FEW_BYTES = 32 << 20
 
@@ -103,11 +105,11 @@ def cut_points(slim: DataFrame, per: DataFrame, fan: int) -> DataFrame:
     inner = F.sum("words").over(W.partitionBy("turn", "g").orderBy("b")) - F.col("words")
     start = blocks.join(groups.select("turn", "g", upto.alias("base")), ["turn", "g"]).withColumn("start", F.col("base") + inner)
     last = start.join(per.select("turn", "rest"), "turn").filter("start < rest and rest <= start + words")
-    last = cut(last.select("turn", "b", (F.col("rest") - F.col("start")).alias("rest")))
+    last = cut(last.select("turn", "b", (F.col("rest") - F.col("start")).alias("rest")), SOURCES)
     within = rows.drop("rest").join(_small(last), ["turn", "b"]).groupBy("turn", "b", "rest", "h").agg(F.sum("size").alias("words"), F.count("*").alias("n"))
     done = F.sum("words").over(W.partitionBy("turn").orderBy("h")) - F.col("words")
     end = within.withColumn("done", done).filter("done < rest and rest <= done + words")
-    return cut(end.select("turn", "b", "h", F.expr("(rest - done) div n").alias("each")))
+    return cut(end.select("turn", "b", "h", F.expr("(rest - done) div n").alias("each")), SOURCES)
 
 
 def _small(df: DataFrame) -> DataFrame:
@@ -139,17 +141,17 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
     blocks = F.ceil(F.col("n_docs") / block)
     whole = F.expr("case when source_size > 0 then cast(round(target) as bigint) div source_size else 0 end")
     per = per.withColumn("blocks", blocks).withColumn("width", F.expr(f"{2**62} div blocks + 1")).withColumn("passes", whole)
-    per = cut(per.withColumn("rest", F.round("target").cast("long") - F.col("passes") * F.col("source_size")))
+    per = cut(per.withColumn("rest", F.round("target").cast("long") - F.col("passes") * F.col("source_size")), SOURCES)
     per = per.join(cut_points(slim, per, fan), "turn", "left")
-    per = cut(per.withColumn("quota", F.col("passes") * F.col("blocks") + F.coalesce(F.col("b") + 1, F.lit(0))))
+    per = cut(per.withColumn("quota", F.col("passes") * F.col("blocks") + F.coalesce(F.col("b") + 1, F.lit(0))), SOURCES)
     quotas = per.select("turn", "quota", "target").orderBy("turn").collect()  # a row for each source
     most_shards = max(1, TREE // max(1, len(quotas)))
     shards = shards or min(most_shards, max(1, math.ceil(sum(r.target for r in quotas) / shard_words)))
     found = tree_cells([r.turn for r in quotas], np.array([r.quota for r in quotas], np.int64), shards, seed)
-    cells = cut(docs.sparkSession.createDataFrame(found, "turn int, width long, cell long, shard int, bounds array<long>"))
+    cells = cut(docs.sparkSession.createDataFrame(found, "turn int, width long, cell long, shard int, bounds array<long>"), 16 * SOURCES)
     widths = cells.groupBy("turn").agg(F.first("width").alias("cell_width"))
     fields = F.struct("turn", "source", "source_size", "target", "blocks", "width", "passes", "h", "each", "cell_width")
-    per = cut(per.join(widths, "turn", "left").select("source", fields.alias(pre)))
+    per = cut(per.join(widths, "turn", "left").select("source", fields.alias(pre)), SOURCES)
     rows = docs.withColumn(size, n_words(F.col(text_col))).withColumn(h, hashed)
     rows = rows.join(_small(per.withColumnRenamed("source", source_key)), source.eqNullSafe(F.col(source_key)), "left").drop(source_key)
     part = F.when(F.col(h) < F.col(f"{pre}.h"), F.col(size)).when(F.col(h) == F.col(f"{pre}.h"), F.col(f"{pre}.each")).otherwise(F.lit(0))
