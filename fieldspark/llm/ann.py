@@ -228,7 +228,7 @@ def _search(reps: DataFrame, kind: str, top: int, tables: int, hashes: int, part
     return posted.repartition(*keys).sortWithinPartitions(*keys, "role").mapInArrow(_rerank(top + 1), "rep long, id long, score double")
 
 
-def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", top: int = 20, tables: int = 4, hashes: int | None = None, part: float | None = None, block: int = 16384, seed: int = 0) -> DataFrame:
+def search(vectors: DataFrame, is_query, id_col: str = "vec_id", vec_col: str = "embedding", top: int = 20, tables: int = 4, hashes: int | None = None, part: float | None = None, block: int = 4096, seed: int = 0) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``top`` rows of largest inner product found for each query, but its own.
 
     is_query: a Column over column ``id``. Nearness is the inner product in double precision; ties go to the smaller id.

@@ -18,8 +18,8 @@ SALTS = 16
 
 
 def finite(vec: Column) -> Column:
-    """Not null, not empty, and without null or non-finite components."""
-    return vec.isNotNull() & (F.size(vec) > 0) & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    """Not null, and without null or non-finite components."""
+    return vec.isNotNull() & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
 
 
 def distinct_vectors(rows: DataFrame, is_query: Column, top: int) -> tuple[DataFrame, DataFrame]:
@@ -29,6 +29,7 @@ def distinct_vectors(rows: DataFrame, is_query: Column, top: int) -> tuple[DataF
     ids are cut down on each side of the shuffle, and by salt before they meet.
     """
     rows = cut(rows.groupBy("id", "v").agg(F.lit(1).alias("one")).drop("one"))
+    n = rows.count()
     salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)))
     for keys in (["v", "salt"], ["v"]):
         rank = F.row_number().over(W.partitionBy(*keys).orderBy("id"))
@@ -36,9 +37,9 @@ def distinct_vectors(rows: DataFrame, is_query: Column, top: int) -> tuple[DataF
     asked = rows.filter(is_query)
     seen = asked.select("v").distinct().withColumn("q", F.lit(True))
     reps = salted.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).join(seen, "v", "left")
-    reps = cut(reps.select("v", "ids", F.coalesce("q", F.lit(False)).alias("q")))
+    reps = cut(reps.select("v", "ids", F.coalesce("q", F.lit(False)).alias("q")), 64 * n)  # rows are longer than most
     reps = reps.withColumn("rep", F.monotonically_increasing_id())  # read from the checkpoint, so always the same
-    return reps, cut(asked.join(reps.select("v", "rep"), "v").select("id", "rep"))
+    return reps, cut(asked.join(reps.select("v", "rep"), "v").select("id", "rep"), n)
 
 
 def groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
@@ -66,7 +67,7 @@ def groups(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]
 def matrix(column: pa.ChunkedArray) -> np.ndarray:
     """Rows of a list column of doubles, all of one length."""
     flat = column.combine_chunks().flatten() if isinstance(column, pa.ChunkedArray) else column.flatten()
-    return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return flat.to_numpy(zero_copy_only=False).reshape(len(column), -1) if len(flat) else np.zeros((len(column), 0))
 
 
 class Best:

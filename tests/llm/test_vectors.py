@@ -106,6 +106,48 @@ def test_empty_table(spark):
     assert ann.search(frame, F.col("id") % 20 == 0).count() == topk.search(frame, F.col("id") % 20 == 0).count() == 0
 
 
+def clusters(seed=5, n=3000, d=12):
+    """Vectors in tight clusters far apart; one in three is in the first."""
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(12, d)) * 5
+    of = np.where(rng.random(n) < 1 / 3, 0, rng.integers(0, 12, n))
+    return centres[of] + 0.05 * rng.normal(size=(n, d))
+
+
+@pytest.mark.parametrize("outlines", [topk.OUTLINES, 0])
+def test_topk_on_clusters_equals_brute_force(spark, monkeypatch, outlines):
+    monkeypatch.setattr(topk, "OUTLINES", outlines)  # 0: norms alone
+    rows = list(enumerate(clusters()))
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in rows], "vec_id long, embedding array<double>").repartition(4)
+    want = brute(rows, lambda x, v: np.floor(64 * x).astype(int) @ np.floor(64 * v).astype(int))
+    assert lists(topk.search(frame, F.col("id") % 20 == 0, block=128)) == want
+
+
+def test_outlines_reject_blocks_and_never_one_that_counts():
+    x = np.floor(64 * clusters())
+    blocks = np.array_split(x[np.lexsort(x.T[::-1])], 40)
+    import pyarrow as pa
+
+    centres = [b.mean(axis=0) for b in blocks]
+    table = pa.table({"dim": [12] * 40, "cell": range(40), "part": [0] * 40, "norm": [np.linalg.norm(b, axis=1).max() for b in blocks], "radius": [np.linalg.norm(b - c, axis=1).max() for b, c in zip(blocks, centres)], "centre": [c.tolist() for c in centres]})
+    queries = x[::50]
+    scores = queries @ x.T
+    least = np.sort(scores, axis=1)[:, -21]
+    for full in (True, False):
+        outlines = topk.Outlines(table if full else table.drop_columns(["centre"]), full)
+        sent = set(zip(*(a.tolist() for a in outlines.blocks(12, queries, None, 2)))) | set(zip(*(a.tolist() for a in outlines.blocks(12, queries, least, 2))))
+        for q in range(len(queries)):
+            for b, block in enumerate(blocks):
+                assert (q, b) in sent or (queries[q] @ block.T).max() < least[q]
+        assert not full or len(sent) < 0.5 * len(queries) * 40
+
+
+def test_empty_vectors_meet_each_other(spark):
+    frame = spark.createDataFrame([(20, []), (40, []), (7, []), (60, [1.0]), (8, [2.0])], "vec_id long, embedding array<double>")
+    got = lists(topk.search(frame, F.col("id") % 20 == 0))
+    assert got == {20: [(7, 0), (40, 0)], 40: [(7, 0), (20, 0)], 60: [(8, 64 * 128)]}
+
+
 @pytest.mark.parametrize("scale", [3, 40_000])
 def test_bounds_never_drop_a_member(scale):
     rng = np.random.default_rng(1)
