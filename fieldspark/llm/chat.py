@@ -33,7 +33,7 @@ def format_pairs(turns: DataFrame, pair: Column, chosen: Column, turn_col: str =
     neither). Turns are in the order of turn_col (nulls first), then role and text; repeated rows are repeated turns. Null
     roles and texts are rendered as empty, and equal each other only as nulls. chosen and rejected: array<struct<text,
     loss>>. A pair of which one conversation is missing has an empty prompt and an empty array for it. Rows of a null
-    pair are left out.
+    pair are left out. Other columns are ignored, whatever their names; an empty table gives no rows.
     """
     turn = F.struct(F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     side = lambda on: F.sort_array(F.collect_list(F.when(on, turn)))

@@ -200,7 +200,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", out: str = "l
     lang: a language of the model, or 'und' for null and for texts without a letter (score 0, no spans). score: the part
     of the text's letters in words labelled so. spans: array<struct<start, n_words, lang>>, by word. A model without
     languages gives 'und'. Ties go to the first language in code-point order. Rows and other columns stay as they are; a column
-    that was called ``out`` is replaced.
+    that was called ``out`` is replaced. Long texts are read whole; an empty table gives no rows.
     """
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)

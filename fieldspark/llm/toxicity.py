@@ -314,13 +314,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "toxicity") -> DataFrame:
     """docs and a double column ``out`` between 0 and 1; null and empty texts get the score of no evidence.
-    Rows and other columns stay as they are; a column that was called ``out`` is replaced."""
+    Rows and other columns stay as they are; a column that was called ``out`` is replaced. Long texts are read whole; an
+    empty table gives no rows."""
     bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    made: list[Callable[[str | None], float]] = []  # a task's, with what it has decoded
 
     def scores(texts: pa.Array) -> pa.Array:
-        one = shared.value.scorer()
-        out = pa.array([one(x.as_py()) for x in texts], pa.float64())
+        if not made:
+            made.append(shared.value.scorer())
+        out = pa.array([made[0](x.as_py()) for x in texts], pa.float64())
         give_back()
         return out
 
@@ -330,12 +333,17 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out: str = "tox
 
 def restored(docs: DataFrame, model: Model, text_col: str = "text", out: str = "restored") -> DataFrame:
     """docs and a string column ``out``: the text with suspect tokens decoded; '' for null. A column of
-    that name is replaced."""
+    that name is replaced. Long texts are read whole; an empty table gives no rows."""
+    bound_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model.cost)
+    made: list[Restorer] = []
 
     def restore(texts: pa.Array) -> pa.Array:
-        one = Restorer(shared.value)
-        return pa.array([one(x.as_py()) for x in texts], pa.string())
+        if not made:
+            made.append(Restorer(shared.value))
+        out = pa.array([made[0](x.as_py()) for x in texts], pa.string())
+        give_back()
+        return out
 
     restore.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     return docs.withColumn(out, F.arrow_udf(restore, T.StringType())(F.col(text_col).cast("string")))

@@ -91,7 +91,8 @@ def judge(pages: DataFrame, rules: DataFrame, id_col: str = "page_id", url_col:
     rules: (verdict, rule), a rule being a host, a slash and more of a path, which fits the host and all its subdomains if
     the url's path starts with the rule's. The longest rule that fits wins; of equal rules 'block' wins. Without a rule
     that fits, rule is null and the verdict ``default``. Null rules and rules without a host are left out. Null
-    urls and urls without '://' have an empty host and path, which no rule fits.
+    urls and urls without '://' have an empty host and path, which no rule fits. Other columns of pages are ignored, whatever
+    their names; an empty table gives no rows. The pages are counted and sampled for the ranges at once.
     """
     spark = pages.sparkSession
     url_host, url_path = parts(F.col(url_col).cast("string"))
