@@ -112,6 +112,10 @@ def cut_points(slim: DataFrame, per: DataFrame, fan: int) -> DataFrame:
     return cut(end.select("turn", "b", "h", F.expr("(rest - done) div n").alias("each")), SOURCES)
 
 
+def _up_to(numbers: Column, most: Column) -> Column:
+    return F.filter(numbers, lambda x: x <= most)
+
+
 def _small(df: DataFrame) -> DataFrame:
     """df, a checkpointed table, marked for broadcast if its rows, texts and arrays have few bytes."""
     kinds = dict(df.dtypes)
@@ -162,7 +166,7 @@ def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         at = cells.select(F.struct("turn", "cell").alias(key), F.struct("shard", "bounds").alias(f"{cell}{k}"))
         asked = F.when(words > 0, F.struct(F.col(f"{pre}.turn").alias("turn"), F.expr(f"({k} * {pre}.blocks + {h} div {pre}.width) div {pre}.cell_width").alias("cell")))
         rows = rows.join(at, asked == F.col(key), "left").drop(key)
-        shard = F.col(f"{cell}{k}.shard") + F.size(F.filter(f"{cell}{k}.bounds", lambda x, draw=draw: x <= draw))
+        shard = F.col(f"{cell}{k}.shard") + F.size(_up_to(F.col(f"{cell}{k}.bounds"), draw))
         passes.append(F.struct(F.lit(k).alias("pass"), shard.alias("shard"), words.alias("words"), F.xxhash64(F.lit(seed + 1 + k), h).alias("place")))
     rows = rows.withColumn(draws, F.filter(F.array(*passes), lambda x: x["words"] > 0))
     added = F.aggregate(draws, F.lit(0).cast("long"), lambda a, x: a + x["words"])
