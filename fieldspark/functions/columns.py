@@ -16,6 +16,12 @@ def present(c: Column | str) -> Column:
     return F.nanvl(col(c).cast("double"), F.lit(None).cast("double"))
 
 
+def unfilled(c: Column | str, fill: float = 1e30) -> Column:
+    """The value as a double; NULL for one that is the fill value within rounding."""
+    x = col(c).cast("double")
+    return F.when(F.abs(x - fill) > 1e-5 * abs(fill) + 1e-8, x).otherwise(F.when(F.isnan(x), x))
+
+
 def finite(c: Column | str) -> Column:
     """Whether a value is there and is neither NaN nor infinite; never NULL."""
     x = col(c).cast("double")

@@ -10,7 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.columns import INF, finite, present, safe_ln
+from ..functions.columns import INF, finite, present, safe_ln, unfilled
 from ..functions.moist import hybrid_pressure
 
 #: Levels of a table that is broadcast, at most.
@@ -85,10 +85,11 @@ def to_pressure(field: DataFrame, coef: DataFrame, surface: DataFrame, targets:
 
 
 def to_default_pressure(field: DataFrame, coef: DataFrame, surface: DataFrame, plev_hpa: Sequence[float] | None = None, extrapolate: bool = False, **how) -> DataFrame:
-    """to_pressure in the logarithm of pressure, at levels in hPa; by default 28 from 10 to 1000."""
+    """to_pressure in the logarithm of pressure, at levels in hPa; by default 28 from 10 to 1000. Results of 1e30 are missing."""
     from ..functions.constants import plev_default
 
-    return to_pressure(field, coef, surface, [100.0 * p for p in plev_hpa or plev_default], interp_type="log", extrapolate=extrapolate, **how)
+    out = to_pressure(field, coef, surface, [100.0 * p for p in plev_hpa or plev_default], interp_type="log", extrapolate=extrapolate, **how)
+    return out.withColumn("value", unfilled("value"))
 
 
 def to_height(field: DataFrame, heights: Sequence[float] | float, z: DataFrame | None = None, value: str = "v", height: str = "z", by: Sequence[str] = ("col",), lev: str = "lev", out: str = "height", extrapolate: bool = False) -> DataFrame:

@@ -9,8 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import geodesy, moist
-from ..functions.columns import NAN
+from ..functions import constants, geodesy, moist
+from ..functions.columns import NAN, unfilled
 from ..functions.constants import plev_default
 from ..operators import lanczos, raster, sphere, stats, vertical
 from ..operators.bins import Bins, bin_by, bin_by_two, bin_fields
@@ -329,6 +329,22 @@ def summary_stats(spark, sf):
     return stats.summary(table(spark, sf, "events"), ["value", "user_id"])
 
 
+@query("""
+SELECT '  value        [ms]' || printf('   min: %.4f', min(value)) || printf('   avg: %.4f', avg(value)) || printf('   max: %.4f', max(value)) || printf('   std: %.4f', stddev_pop(value)) || '   shp: (' || count(*) || ',)' AS line
+FROM (SELECT CAST(event_id % 8 AS DOUBLE) AS value FROM events WHERE event_id % 16 < 8)""")
+def summary_line(spark, sf):
+    rows = table(spark, sf, "events").filter("event_id % 16 < 8").select((F.col("event_id") % 8).cast("double").alias("value"))
+    return spark.range(1).select(F.lit(stats.summary_text(rows, "value", "value", "ms", stat="naxsh")).alias("line"))
+
+
+@query("""
+SELECT name, rnd(v, 6) AS value FROM (VALUES ('pi', pi()), ('cpd', 1004e0), ('cpv', 1850e0), ('Tf', 273.15e0), ('g', 9.81e0), ('Lv', 2.5104e6), ('Lf', 0.3336e6), ('Ls', 2.844e6), ('Po', 1e5),
+  ('Rd', 287.04e0), ('Rv', 461.5e0), ('esf', 611e0), ('eps', 0.622e0), ('deg_to_rad', pi() / 180), ('rad_to_deg', 180 / pi())) x(name, v)""", 6)
+def physical_constants(spark, sf):
+    names = ("pi", "cpd", "cpv", "Tf", "g", "Lv", "Lf", "Ls", "Po", "Rd", "Rv", "esf", "eps", "deg_to_rad", "rad_to_deg")
+    return spark.range(1).select(F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(float(getattr(constants, n))).alias("value")) for n in names])))
+
+
 DIRTY = "(SELECT event_type, CASE WHEN event_id % 97 = 0 THEN 'nan'::DOUBLE WHEN event_id % 89 = 0 THEN 'inf'::DOUBLE WHEN event_id % 83 = 0 THEN NULL ELSE value END AS value FROM events)"
 
 
@@ -471,6 +487,21 @@ def interp_28_levels(spark, sf):
     return vertical.to_default_pressure(cells, coefficients(spark), surf)
 
 
+@query(bracket_sql("p", "v", "t", "r", P_TARGETS, "v IS NULL", False).format(name="plev", digits=4))
+def interp_first_time_of_coefficients(spark, sf):
+    """Coefficients of later times do not count."""
+    cells, surf = columns(spark, sf)
+    coef = coefficients(spark)
+    later = coef.withColumn("hybm", F.col("hybm") * 0.5).withColumn("time", F.lit(2))
+    return vertical.to_pressure(cells, later.unionByName(coef.withColumn("time", F.lit(1))), surf, P_LIST, interp_type="linear")
+
+
+@query("SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN rnd(value, 4) END AS value FROM events")
+def fill_to_missing(spark, sf):
+    value = F.when(F.col("event_id") % 7 == 0, 1e30).otherwise(F.col("value"))
+    return table(spark, sf, "events").select("event_id", unfilled(value).alias("value"))
+
+
 @query("SELECT rnd(unnest([" + ", ".join(map(str, plev_default)) + "]) * 1e2, 2) AS pa", 2)
 def default_levels_in_pa(spark, sf):
     return spark.range(1).select(F.explode(F.array(*map(F.lit, plev_default))).alias("hpa")).select(moist.hpa_to_pa(F.col("hpa").cast("double")).alias("pa"))
@@ -531,6 +562,12 @@ def raster_idw(spark, sf):
     return raster.to_raster(suppliers(spark, sf), customers(spark, sf), key=("c",), method="linear")
 
 
+@query(raster_sql(1, "true").replace(PIXELS, PIXELS.replace("SELECT c_custkey AS c, (", "SELECT c_custkey AS c, CASE WHEN c_custkey % 11 <> 0 THEN 1 END * (")))
+def raster_pixels_off_the_globe(spark, sf):
+    spots = customers(spark, sf).withColumn("lon", F.when(F.col("c") % 11 != 0, F.col("lon")).when(F.col("c") % 2 == 0, NAN))
+    return raster.to_raster(suppliers(spark, sf), spots, key=("c",))
+
+
 @query(raster_sql(1, "ncol % 7 <> 0"))
 def raster_masked(spark, sf):
     cells = suppliers(spark, sf).withColumn("value", F.when(F.col("ncol") % 7 != 0, F.col("value")).otherwise(-999.0))
