@@ -67,7 +67,7 @@ def test_scores_restored_texts(spark):
     held = [k for k in truth if k % 4 == 0]
     assert sum((scores[k] >= 0.3) == truth[k] for k in held) >= 0.98 * len(held)
     restored = {r.doc_id: r.restored for r in toxicity.restored(odd.filter("doc_id < 2"), model, text_col="body").collect()}
-    assert restored == {0: "you idiot", 1: "what an idiot you are"} or restored[0] == "you idiot"
+    assert restored == {0: "you idiot", 1: "what an idiot you are"}
 
 
 HIDDEN = ["!diot", "|oser", "+rash", "1d107", "c l o w n", "c  l  o  w  n", "i, d, i, o, t", "i.d-i_o t", "iiddiioott", "a s s", "s. c. u. m", "+idiot", "|trash"]
