@@ -27,6 +27,8 @@ from .common import bound_batches, cut, fresh, give_back
 SEED = 42
 #: Bytes of a text whose words are held at once.
 PORTION = 1 << 18
+#: Tasks that a node's edges are dealt to.
+SALTS = 8
 SPACE = re.compile(rb"[\x20\x09-\x0D]")
 
 
@@ -166,6 +168,12 @@ def link_edges(fps: DataFrame, max_bits: int = 3, key_bytes: int = 3, block: int
     return dealt.mapInArrow(_links(max_bits), "u long, v long")
 
 
+def _with_least(edges: DataFrame, low: DataFrame) -> DataFrame:
+    """edges (u, v) with the m of each u; the edges of a u, of which a large component's root has many, are dealt to SALTS tasks."""
+    edges = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
+    return edges.join(low.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))), ["u", "salt"]).drop("salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of edges (u, v) but the roots: root is the smallest node of the component."""
     e = cut(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
@@ -173,9 +181,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        e1 = both.filter("v > u").join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        e1 = _with_least(both.filter("v > u"), low).filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = e1.groupBy("u").agg(F.min("v").alias("m"))
-        joined = e1.join(low, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
+        joined = _with_least(e1, low).select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("x"))
         e = cut(joined.select("x.u", "x.v").filter("u <> v").distinct(), 4 * n)  # two rows for each edge, twice
         now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == state:
